@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,40 @@ def _head_start(vertex: Column, level: int, rate: float) -> Column:
     return -F.log(F.greatest(uniform, F.lit(1e-18))) / F.lit(rate)
 
 
+#: Links that are contracted together within a task; bounds its memory.
+CHUNK = 200_000
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """The same groups with each chunk of a partition as stars: fewer links and shorter paths, before any shuffle."""
+
+    def contracted(links: list[tuple[str, str]]) -> pa.RecordBatch:
+        up: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = x = up[above]
+            return x
+
+        for a, b in links:
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        rows = [(root(v), v) for v in list(up) if up[v] != v]
+        return pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in rows], pa.string()), "b": pa.array([r[1] for r in rows], pa.string())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[str, str]] = []
+        for one in batches:
+            links += zip(one.column(0).to_pylist(), one.column(1).to_pylist(), strict=True)
+            if len(links) >= CHUNK:
+                yield contracted(links)
+                links = []
+        yield contracted(links)
+
+    return edges.select("a", "b").mapInArrow(run, "a string, b string")
+
+
 def _decompose(edges: DataFrame, level: int, rate: float, rounds: int) -> DataFrame:
     """(v, c): each vertex of the edges and the centre of the cluster that reached it first.
 
@@ -31,7 +68,7 @@ def _decompose(edges: DataFrame, level: int, rate: float, rounds: int) -> DataFr
     return label.select("v", F.col("x.c").alias("c"))
 
 
-def components(pairs: DataFrame, a: str, b: str, out: str = "group_key", rate: float = 0.4, rounds: int = 3, max_levels: int = 64) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str, out: str = "group_key", rate: float = 0.03, rounds: int = 3, max_levels: int = 64) -> DataFrame:
     """(key, out): every key of either column and the smallest key of its group (binary string order).
 
     A row with one side null or empty adds the other side as a key without a link; both missing adds nothing.
@@ -39,21 +76,22 @@ def components(pairs: DataFrame, a: str, b: str, out: str = "group_key", rate: f
     gives an empty result. Only columns a and b are read.
 
     Each level cuts the graph into clusters of low diameter, contracts each to its centre and goes on with
-    the edges between clusters; their number falls by a constant factor a level. Tables of levels are
+    the edges between clusters; their number falls by a constant factor a level. Before each shuffle the
+    links of a task are contracted to stars in chunks of bounded size. Tables of levels are
     checkpointed, so a lost executor costs no earlier level. No vertex's links are gathered in one row: a hub
     is met by partial minima and by joins that AQE may split.
     """
     pairs = pairs.select(F.nullif(F.col(a).cast("string"), F.lit("")).alias("a"), F.nullif(F.col(b).cast("string"), F.lit("")).alias("b")).distinct()
     pairs = cut(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("v")).where("v is not null").distinct()
-    edges = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = cut(_stars(pairs.where("a <> b")).distinct())
     levels: list[DataFrame] = []
     for level in range(max_levels):
         clusters = cut(_decompose(edges, level, rate, rounds))
         levels.append(clusters)
         ca, cb = (clusters.select(F.col("v").alias(x), F.col("c").alias("c" + x)) for x in "ab")
-        between = edges.join(ca, "a").select("b", "ca").distinct().join(cb, "b").where("ca <> cb")
-        edges = cut(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+        between = edges.join(ca, "a").select("b", "ca").join(cb, "b").where("ca <> cb")
+        edges = cut(_stars(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct())
         if edges.isEmpty():
             break
     else:
