@@ -237,12 +237,13 @@ def restore(rows: DataFrame, entity: str = "entity", key: str = "row_key", text:
     pairs = cut(pairs)
     if pairs.count() > 2_000_000:
         raise ValueError("more letter pairs than any alphabet has")
-    letters = spark.sparkContext.broadcast(Letters.of([(r.a, r.b, float(r.n)) for r in pairs.toLocalIterator()]))
+    model = Letters.of([(r.a, r.b, float(r.n)) for r in pairs.toLocalIterator()])
+    letters = spark.sparkContext.broadcast((model.pairs, model.floor))  # plain values: workers need not import this module
 
     pieces = rows.select(F.explode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count("*").alias("seen"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, tables = letters.value, _tables()
+        model, tables = Letters(*letters.value), _tables()
         for batch in batches:
             out: list[tuple] = []
             for piece in batch["piece"]:

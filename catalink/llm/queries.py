@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalink.llm import canonical, components, encoding, fusion, leak, mix, names
+from catalink.llm import canonical, components, encoding, fusion, leak, linkage, mix, names
 from catalink.llm.sql import SQL
 from catalink.runtime import read
 
@@ -47,6 +47,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_pairs(names.link_names(names.author_mentions(read(spark, d, "auteur"), read(spark, d, "babelio_author"))))
 
 
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link_books(*linkage.book_records(read(spark, d, "babelio_book"), read(spark, d, "livre")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.same_books(_books(spark, d)).select("url", "notice")
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All compared pairs with their levels of agreement and the confidence of a match."""
+    return _books(spark, d)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_item")).where("exact").select("doc_id", "item_id")
 
