@@ -97,12 +97,12 @@ def format_isbn(c: Column) -> Column:
 
 def split_isbns(c: Column) -> Column:
     """Several ISBNs of one field, parted by bar, semicolon or comma; blanks and empties go."""
-    return F.filter(F.transform(F.split(c, r"[|;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[|;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_list(c: Column, sep: str = ",") -> Column:
     """Parts of a list without outer blanks and empties; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), re.escape(sep)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), re.escape(sep)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def main_title(c: Column) -> Column:
@@ -125,7 +125,7 @@ def with_birth_year(name: Column, year: Column) -> Column:
 
 def swap_name(c: Column, sep: str = ",") -> Column:
     """'Family, Given' as 'Given Family'; a name without separator stays."""
-    parts = F.transform(F.split(c, re.escape(sep)), F.trim)
+    parts = F.transform(F.split(c, re.escape(sep)), lambda x: F.trim(x))
     return F.when(F.size(parts) > 1, F.concat_ws(" ", F.get(parts, 1), F.get(parts, 0))).otherwise(F.trim(c))
 
 
@@ -246,7 +246,7 @@ def work_info(lines: Column) -> dict[str, Column]:
     edition = F.get(F.filter(lines, lambda x: x.startswith(", ")), 0)
     told = F.substring(edition, F.lit(3), F.length(edition))
     split = F.split(told, ":")
-    isbn = F.get(F.filter(F.transform(lines, F.trim), lambda x: x.startswith("ISBN :")), 0)
+    isbn = F.get(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.startswith("ISBN :")), 0)
     return {
         "title": F.when(year != "", F.replace(head, year, F.lit(""))).otherwise(head),
         "year": F.nullif(F.regexp_replace(year, r"^ \(|\)$", ""), F.lit("")),

@@ -134,7 +134,7 @@ def similar_texts(left: DataFrame, right: DataFrame, k: int = 4) -> DataFrame:
         high = F.least(F.col("at") + F.least(F.col("i"), t) + F.col("gap"), F.length("l") - F.col("w") + 1, F.col("at") + t)
         probe = probe.where(high >= low).select("l", "n", "i", "w", F.explode(F.sequence(low, high)).alias("p")).select("l", "n", "i", F.substring(F.col("l"), F.col("p"), F.col("w")).alias("seg")).distinct()
         met = index.join(probe, ["n", "i", "seg"]).select("s", "l").distinct()
-        return met.where(F.levenshtein("s", "l", bound(F.length("s"), k)) >= 0)
+        return met.where(F.call_function("levenshtein", F.col("s"), F.col("l"), bound(F.length("s"), k)) >= 0)
 
     first = one_way(left, right, False).select(F.col("s").alias("a"), F.col("l").alias("b"))
     second = one_way(right, left, True).select(F.col("l").alias("a"), F.col("s").alias("b"))

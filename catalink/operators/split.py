@@ -185,9 +185,10 @@ def infer_delimiters(rows: DataFrame, source: str, text: str, kind: str) -> Data
     counted = counted.groupBy("src", "name").agg(F.sum("pieces").alias("pieces"), F.sum("regular").alias("regular"))
     # At most one row per candidate: the table's own shares.
     overall = counted.groupBy("name").agg((F.sum("regular") / F.sum("pieces")).alias("share"))
-    sources = rows.select(F.col(source).cast("string").alias("src")).distinct()
+    names = F.explode(F.array(*[F.lit(n) for n in DELIMITERS])).alias("name")
+    sources = rows.select(F.col(source).cast("string").alias("src")).distinct().select("src", names)
     scored = (
-        sources.join(F.broadcast(overall))
+        sources.join(F.broadcast(overall), "name")
         .join(counted.withColumnRenamed("src", "s").withColumnRenamed("name", "d"), F.col("src").eqNullSafe(F.col("s")) & (F.col("name") == F.col("d")), "left")
         .withColumn("score", (F.coalesce("regular", F.lit(0)) + F.lit(PRIOR) * F.col("share")) / (F.coalesce("pieces", F.lit(0)) + F.lit(PRIOR)))
     )
