@@ -62,10 +62,10 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, bucket_rows: in
         .agg(F.max(F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).cast("bigint").alias("cap"))
     )
     sized = cut(count_tokens(documents.withColumn("__hash", F.sha2(F.col("text"), 256)), ["doc_id", "source", "__hash"], "text", tokenizer))
-    total = sized.agg(F.sum("n_tokens")).alias("t").select(F.col("sum(n_tokens)").cast("double").alias("total")) if total_tokens is None else documents.sparkSession.range(1).select(F.lit(float(total_tokens)).alias("total"))
-    total = total.select(F.coalesce("total", F.lit(0.0)).alias("total"))
-    weights = aims.agg(F.sum("weight").alias("weights"))
-    budget = aims.join(F.broadcast(weights)).join(F.broadcast(total)).select("source", "cap", F.coalesce(F.try_divide("weight", "weights"), F.lit(0.0)).alias("target_share"), F.floor(F.coalesce(F.try_divide("weight", "weights"), F.lit(0.0)) * F.col("total")).cast("bigint").alias("budget"))
+    total = float(sized.agg(F.sum("n_tokens")).first()[0] or 0) if total_tokens is None else float(total_tokens)
+    weights = aims.agg(F.sum("weight")).first()[0] or 0.0
+    share = F.coalesce(F.try_divide(F.col("weight"), F.lit(weights)), F.lit(0.0))
+    budget = aims.select("source", "cap", share.alias("target_share"), F.floor(share * F.lit(total)).cast("bigint").alias("budget"))
     # One row per distinct text; its copies are combined on the map side.
     texts = (
         sized.where("n_tokens > 0")
@@ -95,11 +95,10 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, bucket_rows: in
     chosen = cut(chosen)
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("reached"), F.count("*").alias("texts"), F.max("repeats").alias("most_repeats"))
     have = texts.groupBy("source").agg(F.sum("n_tokens").alias("available"))
-    everything = reached.agg(F.sum("reached").alias("everything"))
+    everything = F.lit(reached.agg(F.sum("reached")).first()[0] or 0)
     shares = (
         budget.join(have, "source", "left")
         .join(reached, "source", "left")
-        .join(F.broadcast(everything))
         .select(
             "source",
             "target_share",
@@ -108,7 +107,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, bucket_rows: in
             F.coalesce("texts", F.lit(0)).alias("texts"),
             F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
             F.coalesce("reached", F.lit(0)).alias("reached"),
-            F.coalesce(F.try_divide("reached", "everything"), F.lit(0.0)).alias("reached_share"),
+            F.coalesce(F.try_divide(F.col("reached"), everything), F.lit(0.0)).alias("reached_share"),
         )
     )
     return chosen, shares
