@@ -25,3 +25,31 @@ n AS (SELECT 'babelio_book' entity, g FROM b GROUP BY g HAVING count(*) > 1 UNIO
 SELECT entity, g AS group_key, f AS field_name, id AS rec_id FROM
  (SELECT c.*, row_number() OVER (PARTITION BY entity, g, f ORDER BY t DESC, id) r FROM c JOIN n USING (entity, g)) WHERE r = 1
 """
+
+
+def _canonical() -> dict[str, str]:
+    from catalink.llm.canonical import canonical_sql
+
+    folded = rf"coalesce(regexp_extract_all(replace(replace(strip_accents(lower({canonical_sql('text')})), 'œ', 'oe'), 'æ', 'ae'), '[\p{{L}}\p{{N}}]+'), [])"
+    return {
+        "p9_found": f"SELECT doc_id FROM documents WHERE text <> {canonical_sql('text')}",
+        "p9_canonical": f"SELECT doc_id, {canonical_sql('text')} canonical FROM documents",
+        "p7_found": f"""
+WITH d AS (SELECT doc_id, {folded} w FROM documents), i AS (SELECT item_id, {folded} w FROM eval_item),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) k FROM d WHERE len(w) >= 12)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
+    }
+
+
+SQL |= _canonical()
+
+SQL["p3_found"] = """
+WITH RECURSIVE p AS (SELECT nullif(author_db.author_key, '') a, nullif(author_wiki.author_key, '') b FROM couple_writers),
+e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) WHERE a IS NOT NULL AND b IS NOT NULL),
+cc(v, g) USING KEY (v) AS (
+  SELECT v, v FROM (SELECT a v FROM p WHERE a IS NOT NULL UNION SELECT b FROM p WHERE b IS NOT NULL)
+  UNION
+  SELECT e.b, min(cc.g) FROM cc JOIN e ON e.a = cc.v JOIN recurring.cc u ON u.v = e.b WHERE cc.g < u.g GROUP BY e.b)
+SELECT v AS author_key, g AS group_key FROM cc
+"""
