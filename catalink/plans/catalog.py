@@ -15,7 +15,7 @@ from catalink.runtime import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {**split_queries.QUERIES}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**split_queries.SQL}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -31,3 +31,17 @@ def p6_delimiters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_delimiters": p6_delimiters}
+
+_ISBN = r"(?:97[89](?:[- ]?\d){9}[- ]?[\dXx]|\d(?:[- ]?\d){8}[- ]?[\dXx])(?:\s*\([^()]*\))?"
+_PARTS = r"""(?:"(?:[^"]|"")*"|«[^»]*»|\((?:[^()]|\([^()]*\))*\)|[^{}])+"""
+
+#: The same by fixed delimiters of each field, for comparison.
+SQL = {
+    "p6_found": rf"""
+WITH a AS (SELECT 'depotlegal20171231' t, 'liste_auteur' f, no_ligne, regexp_extract_all(replace(liste_auteur, '//', ';'), '{_PARTS.format(r";|\t\r\n")}') l FROM depotlegal20171231
+  UNION ALL SELECT 'depotlegal20171231', 'liste_isbn_nettoye', no_ligne, regexp_extract_all(liste_isbn_nettoye, '{_ISBN}') FROM depotlegal20171231
+  UNION ALL SELECT 'exportation_hurtubise', 'contributeurs', no_ligne, regexp_extract_all(regexp_replace(contributeurs, '(^|\s)/(\s|$)', ';', 'g'), '{_PARTS.format(r";,|\t\r\n")}') FROM exportation_hurtubise),
+b AS (SELECT t, f, no_ligne, list_filter(list_transform(l, lambda x: trim(
+    CASE WHEN regexp_full_match(trim(x), '"(?:[^"]|"")*"') THEN replace(trim(x)[2:-2], '""', '"') WHEN regexp_full_match(trim(x), '«[^»]*»') THEN trim(x)[2:-2] ELSE x END)), lambda x: x <> '') l FROM a)
+SELECT t AS table_name, no_ligne, f AS field_name, CAST(generate_subscripts(l, 1) AS INT) rang, unnest(l) valeur FROM b"""
+}
