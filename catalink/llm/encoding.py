@@ -187,6 +187,13 @@ def _tokens(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{M}]+|[^\p{L}\p{M}\s\x00-\x7f]", text)
 
 
+def _scored(text: str) -> list[str]:
+    """The tokens that speak for or against a reading: an apostrophe between two letters says nothing."""
+    import regex
+
+    return _tokens(regex.sub(r"(?<=\p{L})’(?=\p{L})", " ", text))
+
+
 def _surely(text: str) -> bool:
     """Holds a lost byte or a control character that no text has."""
     return any(c == LOST or "\x80" <= c <= "\x9f" for c in text)
@@ -249,7 +256,7 @@ def restore(rows: DataFrame, entity: str = "entity", key: str = "row_key", text:
             for piece in batch["piece"]:
                 options = [("", piece), *readings(piece, model, tables)]
                 for channel, t in options:
-                    words = _tokens(t)
+                    words = _scored(t)
                     out.append((piece, channel, t, words, float(sum(map(model.word, words)))))
             yield pd.DataFrame(out, columns=["piece", "channel", "reading", "tokens", "by_letters"])
 
