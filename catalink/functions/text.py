@@ -14,9 +14,9 @@ MOJIBAKE_CORE = (
     ("Â«", "«"), ("Â»", "»"), ("Ã§", "ç"), ("Ã\x87", "Ç"), ("Âº", "º"), ("â\x80\x99", "’"), ("â\x80\xa6", "…"),
 )
 
-# Fixed values, applied in this order: the longer list used for alignment (variant "alignment").
+# Fixed values, applied in this order: the longer list used for alignment (variant "alignment"), in which è becomes ê.
 MOJIBAKE_ALIGNMENT = (
-    ("Ã\xa0", "à"), ("Ã€", "À"), ("Ã¢", "â"), ("ã", "â"), ("Ã‚", "Â"), ("Ã©", "é"), ("ã‰", "é"), ("ãƒâ©", "é"), ("Ã\x89", "É"), ("Ã\xa8", "è"),
+    ("Ã\xa0", "à"), ("Ã€", "À"), ("Ã¢", "â"), ("ã", "â"), ("Ã‚", "Â"), ("Ã©", "é"), ("ã‰", "é"), ("ãƒâ©", "é"), ("Ã\x89", "É"), ("Ã\xa8", "ê"),
     ("Ã\xaa", "ê"), ("Ã\x8a", "Ê"), ("Ã«", "ë"), ("Ã®", "î"), ("Ã\x8e", "Î"), ("Ã¯", "ï"), ("Ã´", "ô"), ("Ã\x94", "Ô"), ("Ã¹", "ù"),
     ("Ã»", "û"), ("Å\x93", "œ"), ("Â«", "«"), ("Â»", "»"), ("Ã§", "ç"), ("Ã\x87", "Ç"), ("Âº", "º"), ("â€™", "’"), ("â\x80\x99", "’"), ("â\x80\xa6", "…"),
 )
