@@ -109,6 +109,22 @@ def _start(i: Column, length: Column, n: Column) -> Column:
     return (F.when(i <= short, i * base).otherwise(short * base + (i - short) * (base + 1)) + 1).cast("int")
 
 
+#: Letters of the signature and up to how many of each are told apart; 62 bits in all.
+_COUNTED = {**dict.fromkeys("eaisntrlou", 4), **dict.fromkeys("dcmpéèvghbfqjxyzà êwk- ", 1)}
+
+
+def _signature(c: Column) -> Column:
+    """62 bits of unary letter counts: one edit changes at most two of them, so d edits at most 2d."""
+    total, bit = F.lit(0).cast("bigint"), 0
+    for letter, most in _COUNTED.items():
+        n = F.length(c) - F.length(F.translate(c, letter, ""))
+        for k in range(1, most + 1):
+            total = total + F.when(n >= k, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
+            bit += 1
+    assert bit <= 62
+    return total
+
+
 def similar_texts(left: DataFrame, right: DataFrame, k: int = 4) -> DataFrame:
     """(a, b): all pairs of texts with d < max(1, m/k), by partition into segments.
 
@@ -118,23 +134,27 @@ def similar_texts(left: DataFrame, right: DataFrame, k: int = 4) -> DataFrame:
     """
 
     def one_way(short: DataFrame, long: DataFrame, strict: bool) -> DataFrame:
-        s = short.toDF("s").where("s is not null").withColumn("n", F.length("s"))
-        index = s.select("s", "n", F.explode(F.sequence(F.lit(0), _pieces(F.col("n"), k) - 1)).alias("i")).withColumn("at", _start(F.col("i"), F.col("n"), _pieces(F.col("n"), k)))
-        index = index.withColumn("seg", F.substring(F.col("s"), F.col("at"), _start(F.col("i") + 1, F.col("n"), _pieces(F.col("n"), k)) - F.col("at"))).select("s", "n", "i", "seg")
-        l = long.toDF("l").where("l is not null").withColumn("len", F.length("l"))  # noqa: E741
+        s = short.toDF("s").where("s is not null").withColumn("n", F.length("s")).withColumn("sig_s", _signature(F.col("s")))
+        index = s.select("s", "sig_s", "n", F.explode(F.sequence(F.lit(0), _pieces(F.col("n"), k) - 1)).alias("i")).withColumn("at", _start(F.col("i"), F.col("n"), _pieces(F.col("n"), k)))
+        index = index.withColumn("seg", F.substring(F.col("s"), F.col("at"), _start(F.col("i") + 1, F.col("n"), _pieces(F.col("n"), k)) - F.col("at"))).select("s", "sig_s", "n", "i", "seg")
+        l = long.toDF("l").where("l is not null").withColumn("len", F.length("l")).withColumn("sig_l", _signature(F.col("l")))  # noqa: E741
         lengths = F.filter(F.sequence(F.greatest(F.lit(0), (F.col("len") * (1 - 1.0 / k)).cast("int") - 1), F.col("len")), lambda n: n + bound(n, k) >= F.col("len"))
-        probe = l.select("l", "len", F.explode(lengths).alias("n"))
+        probe = l.select("l", "sig_l", "len", F.explode(lengths).alias("n"))
         if strict:
             probe = probe.where("n < len")
-        probe = probe.select("l", "n", (F.col("len") - F.col("n")).alias("gap"), F.explode(F.sequence(F.lit(0), _pieces(F.col("n"), k) - 1)).alias("i"))
+        probe = probe.select("l", "sig_l", "n", (F.col("len") - F.col("n")).alias("gap"), F.explode(F.sequence(F.lit(0), _pieces(F.col("n"), k) - 1)).alias("i"))
         probe = probe.withColumn("at", _start(F.col("i"), F.col("n"), _pieces(F.col("n"), k))).withColumn("w", _start(F.col("i") + 1, F.col("n"), _pieces(F.col("n"), k)) - F.col("at"))
         # Segment i can be shifted by i edits to its left, and by the length gap and the edits to its right.
         t = bound(F.col("n"), k)
         low = F.greatest(F.lit(1), F.col("at") - F.least(F.col("i"), t))
         high = F.least(F.col("at") + F.least(F.col("i"), t) + F.col("gap"), F.length("l") - F.col("w") + 1, F.col("at") + t)
-        probe = probe.where(high >= low).select("l", "n", "i", "w", F.explode(F.sequence(low, high)).alias("p")).select("l", "n", "i", F.substring(F.col("l"), F.col("p"), F.col("w")).alias("seg")).distinct()
-        met = index.join(probe, ["n", "i", "seg"]).select("s", "l").distinct()
-        return met.where(F.call_function("levenshtein", F.col("s"), F.col("l"), bound(F.length("s"), k)) >= 0)
+        probe = probe.where(high >= low).select("l", "sig_l", "n", "i", "w", F.explode(F.sequence(low, high)).alias("p")).select("l", "sig_l", "n", "i", F.substring(F.col("l"), F.col("p"), F.col("w")).alias("seg"))
+        keys = lambda d: d.withColumn("key", F.xxhash64("n", "i", "seg"))
+        met = keys(index).select("key", "s", "sig_s").join(keys(probe).select("key", "l", "sig_l"), "key")
+        met = met.where(F.bit_count(F.col("sig_s").bitwiseXOR(F.col("sig_l"))) <= 2 * bound(F.length("s"), k))
+        # Far pairs fall out before anything is shuffled to make the rest distinct.
+        near = F.call_function("levenshtein", F.col("s"), F.col("l"), bound(F.length("s"), k)) >= 0
+        return met.where((F.length("l") - F.length("s")).between(0, bound(F.length("s"), k)) & near).select("s", "l").distinct()
 
     first = one_way(left, right, False).select(F.col("s").alias("a"), F.col("l").alias("b"))
     second = one_way(right, left, True).select(F.col("l").alias("a"), F.col("s").alias("b"))
