@@ -173,14 +173,74 @@ def compare_names(a: list[list[str]], b: list[list[str]]) -> tuple[float, int, i
     return total, full, initials, min(left) * 100 + max(left)
 
 
+def name_keys(names: DataFrame) -> DataFrame:
+    """(whole, k, kind): blocking keys of settled names; whole tells names apart.
+
+    kind "all" is every pair of full tokens of a name, "two" those of its two rarest places, "head" every full
+    token with the first letter of another one, "initial" every full token with every initial.
+    """
+    spread = names.select("whole", F.posexplode("name").alias("at", "x")).select("whole", "at", F.explode("x").alias("t"), F.get("x", 0).alias("own"))
+    full = spread.where(F.length("own") > 1).select("whole", "at", "t").distinct()
+    usual = full.groupBy("t").agg(F.count("*").alias("df"))
+    full = full.join(broadcast_if_small(usual, usual.count()), "t")
+    # A place is as usual as the most usual token that may stand in it.
+    places = full.groupBy("whole", "at").agg(F.max("df").alias("df"), F.collect_set("t").alias("ts"))
+    listed = places.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("df", "at", "ts"))).alias("places"))
+    initials = F.array_distinct(F.transform(F.filter("name", lambda x: F.length(F.get(x, 0)) == 1), lambda x: F.get(x, 0)))
+    listed = listed.join(names.select("whole", initials.alias("initials")), "whole")
+    many = F.sequence(F.lit(0), F.size("places") - 1)
+    ts = lambda i: F.get("places", i).ts
+
+    def tokens(i: Column, j: Column) -> Column:
+        return F.flatten(F.transform(ts(i), lambda x: F.transform(ts(j), lambda y: F.concat_ws("|", F.least(x, y), F.greatest(x, y)))))
+
+    def letters(i: Column, j: Column) -> Column:
+        return F.flatten(F.transform(ts(i), lambda x: F.transform(ts(j), lambda y: F.concat(x, F.lit("|"), F.substring(y, 1, 1)))))
+
+    every = F.flatten(F.transform(many, lambda i: F.flatten(F.transform(F.filter(many, lambda j: j > i), lambda j: tokens(i, j)))))
+    rarest = F.when(F.size("places") > 1, tokens(F.lit(0), F.lit(1)))
+    heads = F.flatten(F.transform(many, lambda i: F.flatten(F.transform(F.filter(many, lambda j: j != i), lambda j: letters(i, j)))))
+    short = F.flatten(F.transform(many, lambda i: F.flatten(F.transform(ts(i), lambda x: F.transform("initials", lambda h: F.concat(x, F.lit("|"), h))))))
+    of_kind = lambda c, kind: F.transform(F.array_distinct(c), lambda k: F.struct(k.alias("k"), F.lit(kind).alias("kind")))
+    kinds = [of_kind(every, "all"), of_kind(F.coalesce(rarest, F.array().cast("array<string>")), "two"), of_kind(heads, "head"), of_kind(short, "initial")]
+    return listed.select("whole", F.explode(F.concat(*kinds)).alias("k")).select("whole", "k.k", "k.kind")
+
+
+def meeting(keys: DataFrame) -> DataFrame:
+    """(a, b): the names of name_keys that meet, a not after b; a name meets itself.
+
+    Of two names that fit, one has no full token beyond the other. Either each of its tokens has a full one there,
+    then its two rarest are a pair of the other's; or an initial stands for a full token beside a full one that
+    both have. So one side's rarest pair is enough, and pairs of usual tokens ("imprimerie", "fils") never meet
+    each other.
+    """
+    side = lambda kind, name: keys.where(F.col("kind") == kind).select("k", F.col("whole").alias(name))
+    found = side("two", "x").join(side("all", "y"), "k").select("x", "y").union(side("initial", "x").join(side("head", "y"), "k").select("x", "y"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def fit_of(x: list[list[str]], y: list[list[str]]) -> float | None:
+    """How well two settled names fit, None if they are not of one author."""
+    total, full, initials, left_over = compare_names(x, y)
+    least, most = divmod(left_over, 100)
+    ok = full + initials >= 2 and full >= 1 and least == 0 and most <= 1
+    if ok and most and max(len(x), len(y)) > 3 and full < 2:
+        ok = False
+    if ok and most and full < 2 and min(sum(len(t[0]) > 1 for t in n) for n in (x, y)) > 1:
+        ok = False  # a second initial ("Roy, Fabienne L.") must not stand for the family name of another ("Lac, Fabienne")
+    if ok and any(len(n) >= 3 and any(t[0] in BODIES for t in n) for n in (x, y)):
+        ok = most == 0  # of a body every token counts
+    return total - 0.5 * most if ok else None
+
+
 def link_names(mentions: DataFrame) -> DataFrame:
     """(key, author): mentions of persons and bodies, with one author key for all spellings of one.
 
     mentions has key, tokens, slug (a second, clean spelling's tokens or an empty list), year, place.
 
-    Nodes are distinct (tokens, slug, year, place), so exact copies cost nothing. Two nodes meet if they share
-    two full tokens of which one is the rarest of its name, or the rarest token and an initial where one of
-    them has only an initial there; slips and aliases count as what they stand for. Their tokens are aligned
+    Nodes are distinct (tokens, slug, year, place), so exact copies cost nothing. Two names meet if one's two
+    rarest full tokens are among those of the other, or if they share a full token and one has an initial where
+    the other has a full one; slips and aliases count as what they stand for. Their tokens are aligned
     by optimal assignment. Names fit if no full token is left over on both sides and two tokens at least
     agree. Years of birth must not differ. Fitting nodes that also agree in year or place are joined first;
     groups without such evidence between them are joined only if they fit one author alone.
@@ -210,45 +270,24 @@ def link_names(mentions: DataFrame) -> DataFrame:
 
     settled = names.select("node", "tokens", "slug").join(told, "node", "left").mapInArrow(settle, "node string, name array<array<string>>")
     settled = cut(settled.join(names.select("node", "year", "place"), "node"))
-    # How many nodes have each token, to find the rarest of a name.
-    usual = settled.select("node", F.explode(F.transform("name", lambda x: F.get(x, 0))).alias("t")).where(F.length("t") > 1).groupBy("t").agg(F.count("*").alias("df"))
-    spread = settled.select("node", F.posexplode("name").alias("at", "x")).select("node", "at", F.explode("x").alias("t"), F.get("x", 0).alias("own"))
-    rated = spread.where(F.length("t") > 1).join(broadcast_if_small(usual, usual.count()), "t", "left").select("node", "at", "t", F.coalesce("df", F.lit(0)).alias("df"))
-    # A token is as usual as the most usual token it may stand for.
-    usually = rated.groupBy("node", "at").agg(F.max("df").alias("df"), F.collect_set("t").alias("ts")).select("node", "at", "df", F.explode("ts").alias("t"))
-    rated = usually.groupBy("node").agg(F.collect_list(F.struct("at", "t", "df")).alias("full"))
-    letters = settled.select("node", F.transform(F.filter("name", lambda x: F.length(F.get(x, 0)) == 1), lambda x: F.get(x, 0)).alias("initials"), "name")
-    rare = F.array_min(F.transform(F.filter("full", lambda f: f.df > 1), lambda f: f.df))
-    prepared = rated.join(letters, "node").withColumn("rare", F.coalesce(rare, F.lit(1)))
-    anchor = F.explode(F.filter("full", lambda f: f.df <= F.col("rare"))).alias("r")
-    short = F.size(F.array_distinct(F.transform("full", lambda f: f["at"]))) < 2
-    emitted = prepared.select("node", short.alias("short"), "full", "initials", anchor)
-    others = F.filter("full", lambda f: f["at"] != F.col("r.at"))
-    strong = emitted.select("node", F.explode(F.transform(others, lambda f: F.concat_ws("|", F.least(f.t, F.col("r.t")), F.greatest(f.t, F.col("r.t"))))).alias("k")).distinct()
-    heads = F.array_distinct(F.concat(F.transform(others, lambda f: F.substring(f.t, 1, 1)), "initials"))
-    weak = emitted.select("node", "short", F.explode(F.transform(heads, lambda h: F.concat_ws("|", F.col("r.t"), h))).alias("k")).distinct()
-    a, b = strong.select("k", F.col("node").alias("a")), strong.select("k", F.col("node").alias("b"))
-    c, d = weak.where("short").select("k", F.col("node").alias("a")), weak.select("k", F.col("node").alias("b"))
-    met = a.join(b, "k").where("a < b").select("a", "b").union(c.join(d, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    left, right = (settled.select(F.col("node").alias(x), F.col("name").alias("name_" + x), F.col("year").alias("year_" + x), F.col("place").alias("place_" + x)) for x in "ab")
-    met = met.join(left, "a").join(right, "b").where(~(F.col("year_a") != F.col("year_b")) | F.col("year_a").isNull() | F.col("year_b").isNull())
+    # Names are compared once, however many nodes have them.
+    settled = cut(settled.withColumn("whole", F.sha2(F.to_json("name"), 256).substr(1, 24)))
+    keys = cut(name_keys(settled.select("whole", "name").distinct()))
+    met = meeting(keys)
+    names_ = settled.select("whole", "name").distinct()
+    met = met.join(names_.toDF("a", "name_a"), "a").join(names_.toDF("b", "name_b"), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            fits = []
-            for x, y in zip(one.column("name_a").to_pylist(), one.column("name_b").to_pylist(), strict=True):
-                total, full, initials, left_over = compare_names(x, y)
-                least, most = divmod(left_over, 100)
-                ok = full + initials >= 2 and full >= 1 and least == 0 and most <= 1
-                if ok and most and max(len(x), len(y)) > 3 and full < 2:
-                    ok = False
-                if ok and any(len(n) >= 3 and any(t[0] in BODIES for t in n) for n in (x, y)):
-                    ok = most == 0  # of a body every token counts
-                fits.append(total - 0.5 * most if ok else None)
+            fits = [fit_of(x, y) for x, y in zip(one.column("name_a").to_pylist(), one.column("name_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(fits, pa.float64())], names=["a", "b", "fit"])
 
-    fitting = met.select("a", "b", "name_a", "name_b").mapInArrow(judge, "a string, b string, fit double").where("fit is not null")
-    fitting = cut(fitting.join(left.drop("name_a"), "a").join(right.drop("name_b"), "b"))
+    fitting = cut(met.select("a", "b", "name_a", "name_b").mapInArrow(judge, "a string, b string, fit double").where("fit is not null"))
+    left, right = (settled.select(F.col("whole").alias("whole_" + x), F.col("node").alias(x), F.col("year").alias("year_" + x), F.col("place").alias("place_" + x)) for x in "ab")
+    fitting = fitting.withColumnsRenamed({"a": "whole_a", "b": "whole_b"}).join(left, "whole_a").join(right, "whole_b")
+    # Nodes of one name meet once.
+    fitting = fitting.where((F.col("whole_a") != F.col("whole_b")) | (F.col("a") < F.col("b"))).where(F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(True)))
+    fitting = cut(fitting.drop("whole_a", "whole_b"))
     same_year = F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(False))
     same_place = F.coalesce(F.col("place_a") == F.col("place_b"), F.lit(False))
     other_place = F.coalesce(F.col("place_a") != F.col("place_b"), F.lit(False))
