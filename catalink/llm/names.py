@@ -36,13 +36,13 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | swapped
 
 
-def _options(mentions: DataFrame, most: int = 4) -> DataFrame:
+def _options(mentions: DataFrame) -> DataFrame:
     """(token, n, clean, added, options): for each token that is not itself a clean one, the tokens it may stand for.
 
     Clean tokens are those of the second spelling (`slug`) that some mentions carry. A token is taken for a
     slip of a clean or clearly more frequent token one edit away (found by equal deletions), and for an
-    alias of what a mention's second spelling has in its place. The options of a token are the `most`
-    likeliest; ties are met in string order. A token that several mentions have beyond their whole second
+    alias of what a mention's second spelling has in its place. All options are kept, the likeliest
+    first, equal ones in falling string order. A token that several mentions have beyond their whole second
     spelling, and that no second spelling has, is marked as added (a second family name, a legal form).
     """
     spoken = mentions.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -73,7 +73,7 @@ def _options(mentions: DataFrame, most: int = 4) -> DataFrame:
     )
     ranked = slips.union(alias).groupBy("slip", "token").agg(F.max("weight").alias("weight"))
     # The options of one token are bounded by its edits and aliases, not by the number of rows.
-    many = ranked.groupBy("slip").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct(F.col("weight"), F.col("token"))), False), lambda x: x.token), 1, most).alias("options"))
+    many = ranked.groupBy("slip").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("weight"), F.col("token"))), False), lambda x: x.token).alias("options"))
     beyond = mentions.where((F.size("slug") > 0) & (F.size(F.array_except("slug", "tokens")) == 0)).select("slug", F.explode(F.array_except("tokens", "slug")).alias("token")).where(F.length("token") > 1)
     beyond = beyond.distinct().groupBy("token").agg(F.count("*").alias("times")).where("times >= 3").join(clean, "token", "left_anti").select("token", F.lit(True).alias("added"))
     return vocabulary.join(many.withColumnRenamed("slip", "token"), "token", "left").join(beyond, "token", "left").select("token", "n", "clean", F.coalesce("added", F.lit(False)).alias("added"), F.coalesce("options", F.array().cast("array<string>")).alias("options"))

@@ -34,3 +34,12 @@ def test_names_meet_as_by_brute_force(spark):
 def test_second_initial_is_no_family_name():
     assert names.fit_of([["roy"], ["fabienne"], ["l"]], [["lac"], ["fabienne"]]) is None
     assert names.fit_of([["roy"], ["fabienne"], ["l"]], [["roy"], ["f"]]) is not None
+
+
+def test_all_options_of_a_slip(spark):
+    clean = ["marine", "karine", "carine", "farine", "darine", "narine", "sarine"]
+    rows = [(f"k{i}{n}", [t, "roy"], [t, "roy"]) for i, t in enumerate(clean) for n in range(i + 1)] + [("x", ["zarine", "roy"], [])]
+    df = spark.createDataFrame(rows, "key string, tokens array<string>, slug array<string>")
+    got = {r.token: r.options for r in names._options(df).collect()}["zarine"]
+    assert sorted(got) == sorted(clean)
+    assert got[0] == "sarine"
