@@ -26,6 +26,13 @@ def balanced(positives: DataFrame, negatives: DataFrame, n: int, keys: list[str]
     return a.withColumn("label", F.lit(1)).unionByName(b.withColumn("label", F.lit(0)))
 
 
+def train_and_rest(pairs: DataFrame, n: int, keys: list[str], seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Four fifths of n pairs of each label to fit on, and all pairs that are not among them to test on."""
+    sample = balanced(pairs.where("label = 1").drop("label"), pairs.where("label = 0").drop("label"), n, keys, seed)
+    train = sample.where(order_key(*keys, seed=11) % 5 != 0)
+    return train, pairs.join(train.select(*keys), keys, "left_anti")
+
+
 def characters(c: Column) -> Column:
     """Lower-case characters of a text without filtered signs."""
     return F.filter(F.split(F.lower(F.translate(c, FILTERED, "")), ""), lambda x: x != "")
