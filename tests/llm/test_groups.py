@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalink.llm import components as components_
 from catalink.llm.components import components
 from catalink.llm.fusion import claims, discover, edition_day, editor_name, page_count, single_year
 
@@ -26,8 +27,9 @@ def union_find(pairs):
     return {x: root(x) for x in up}
 
 
+@pytest.mark.parametrize("last", [0, 50_000])
 @pytest.mark.parametrize("shape", ["chain", "star", "random"])
-def test_components_equal_union_find(spark, shape):
+def test_components_equal_union_find(spark, shape, last):
     rnd = random.Random(1)
     if shape == "chain":
         pairs = [(f"k{i:03}", f"k{i + 1:03}") for i in range(150)]
@@ -38,7 +40,7 @@ def test_components_equal_union_find(spark, shape):
     pairs += pairs[:20] + [(None, "alone"), ("lone", None), (None, None), ("", "empty")]
     rnd.shuffle(pairs)
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("key", F.lit("clash")).repartition(5)
-    got = components(df, "a", "b").collect()
+    got = components(df, "a", "b", last=last).collect()
     assert {r.key: r.group_key for r in got} == union_find(pairs)
     assert len(got) == len({r.key for r in got})
 
@@ -104,3 +106,32 @@ def test_votes_find_the_reliable_source(spark):
     assert sum(v == "true" for v in votes.values()) == 40
     newest = {r.value for r in discover(said(spark, rows)).collect()}
     assert all(v.startswith("wrong") for v in newest)
+
+
+def test_links_fall_by_a_constant_factor_a_level(spark):
+    n = 100_000
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(8).cache()
+    left = [n]
+    for level in range(3):
+        clusters = components_.decompose(edges, level).cache()
+        edges = components_.between(edges, clusters).cache()
+        left.append(edges.count())
+    assert all(after < 0.6 * before for before, after in zip(left, left[1:], strict=False))
+
+
+def test_labels_rest_and_hubs_are_met_in_parts(spark):
+    rows = [(0, i) for i in range(1, 400)] + [(i, i + 400) for i in range(1, 400)]
+    edges = spark.createDataFrame(rows, "a long, b long").cache()
+    plain = {tuple(r) for r in components_.decompose(edges, 0).collect()}
+    assert plain == {tuple(r) for r in components_.decompose(edges, 0, hub=100).collect()}
+    # Brute force: hops less head start, over all centres.
+    starts = {r.v: r.s for r in spark.range(800).select(F.col("id").alias("v"), components_.head_start(F.col("id"), 0, components_.RATE, components_.LONGEST).alias("s")).collect()}
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for v, c in plain:
+        hops, seen, edge = {v: 0}, {v}, [v]
+        while edge:
+            edge = [w for u in edge for w in near[u] if w not in seen and not seen.add(w) and not hops.update({w: hops[u] + 1})]
+        assert c == min(hops, key=lambda w: (hops[w] - starts[w], w))
