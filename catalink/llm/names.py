@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalink.functions.fold import fold
 from catalink.llm.components import components
-from catalink.runtime import broadcast_if_small, cut
+from catalink.runtime import cut
 
 # Tokens that say nothing about who it is (articles, titles, legal forms, folded).
 EMPTY_TOKENS = ("de", "du", "des", "la", "le", "les", "et", "inc", "enr", "ltee", "dr", "mme", "mlle", "prof", "pr", "me", "mgr", "the", "of", "and")
@@ -36,47 +36,54 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | swapped
 
 
-def _options(mentions: DataFrame) -> DataFrame:
-    """(token, n, clean, added, options): for each token that is not itself a clean one, the tokens it may stand for.
+def _joined(tokens: str) -> Column:
+    """Neighbouring tokens written as one."""
+    return F.transform(F.slice(tokens, 2, F.size(tokens)), lambda t, i: F.concat(F.get(tokens, i), t))
+
 
-    Clean tokens are those of the second spelling (`slug`) that some mentions carry. A token is taken for a
-    slip of a clean or clearly more frequent token one edit away (found by equal deletions), and for an
-    alias of what a mention's second spelling has in its place. All options are kept, the likeliest
-    first, equal ones in falling string order. A token that several mentions have beyond their whole second
-    spelling, and that no second spelling has, is marked as added (a second family name, a legal form).
+def _options(mentions: DataFrame) -> DataFrame:
+    """(token, n, clean, added, options): for each token what it may stand for unless it is itself a clean one.
+
+    mentions has tokens, slug and perhaps `times`, the number of mentions with these. Clean tokens are those of
+    the second spelling (`slug`) that some mentions carry. A token is taken for a slip of a clean or clearly more
+    frequent token one edit away (found by equal deletions), and for an alias of what a mention's second
+    spelling has in its place. All options are kept, the likeliest first, equal ones in falling string order. A
+    token that several mentions have beyond their whole second spelling, and that no second spelling has, is
+    marked as added (a second family name, a legal form).
     """
-    spoken = mentions.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    joined = mentions.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 2, F.lit(0))), lambda i: F.concat(F.get("tokens", i), F.get("tokens", i + 1)))).alias("token")).where("token is not null").groupBy("token").agg(F.lit(0).cast("bigint").alias("n"))
-    clean = mentions.select(F.explode("slug").alias("token")).groupBy("token").agg(F.count("*").alias("clean"))
-    vocabulary = cut(spoken.union(joined).groupBy("token").agg(F.max("n").alias("n")).join(clean, "token", "full").select("token", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("clean", F.lit(0)).alias("clean")))
+    if "times" not in mentions.columns:
+        mentions = mentions.withColumn("times", F.lit(1).cast("bigint"))
+    no = F.lit(0).cast("bigint")
+    said = lambda c, n, clean: F.transform(c, lambda t: F.struct(t.alias("token"), n.alias("n"), clean.alias("clean")))
+    each = F.concat(said(F.col("tokens"), F.col("times"), no), said(_joined("tokens"), no, no), said(F.col("slug"), no, F.col("times")))
+    vocabulary = cut(mentions.select(F.explode(each).alias("x")).groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.clean").alias("clean")))
     keyed = vocabulary.where(F.length("token") >= 3).withColumn("cut", F.explode(deletions(F.col("token"))))
     wrong = keyed.where((F.col("clean") == 0) & (F.length("token") >= 4)).select("cut", F.col("token").alias("slip"), F.col("n").alias("slip_n"))
-    right = keyed.select("cut", "token", "n", "clean")
     slips = (
-        wrong.join(right, "cut")
+        wrong.join(keyed, "cut")
         .where((F.col("slip") != F.col("token")) & ((F.col("clean") > 0) | (F.col("n") >= 2 * F.greatest("slip_n", F.lit(1)))))
-        .select("slip", "token", "n", "clean")
-        .distinct()
         .where(one_edit(F.col("slip"), F.col("token")))
         .select("slip", "token", (F.col("n") + F.col("clean")).cast("double").alias("weight"))
     )
     # Aliases: tokens of a name and of its second spelling that have no equal and no near one on the other side.
-    rest = mentions.where(F.size("slug") > 0).select(F.array_except("tokens", "slug").alias("a"), F.array_except("slug", "tokens").alias("b"))
-    rest = rest.where((F.size("a") > 0) & (F.size("b") > 0)).select(F.size("a").alias("na"), F.size("b").alias("nb"), F.explode("a").alias("slip"), "b").select("na", "nb", "slip", F.explode("b").alias("token"))
+    rest = mentions.where(F.size("slug") > 0).select("times", F.array_except("tokens", "slug").alias("a"), F.array_except("slug", "tokens").alias("b"))
+    rest = rest.where((F.size("a") > 0) & (F.size("b") > 0)).select("times", (F.size("a") == 1).alias("one_a"), (F.size("b") == 1).alias("one_b"), F.explode("a").alias("slip"), "b").select("times", "one_a", "one_b", "slip", F.explode("b").alias("token"))
     alias = (
-        rest.where((F.length("slip") >= 2) & ((F.col("na") == 1) & (F.col("nb") == 1) | F.col("token").startswith(F.col("slip"))))
+        rest.where((F.length("slip") >= 2) & (F.col("one_a") & F.col("one_b") | F.col("token").startswith(F.col("slip"))))
         .groupBy("slip", "token")
-        .agg(F.count("*").alias("times"))
+        .agg(F.sum("times").alias("times"))
         .where((F.col("times") >= 2) | F.col("token").startswith(F.col("slip")))
-        .join(clean.select(F.col("token").alias("slip")), "slip", "left_anti")
         .select("slip", "token", (F.col("times") * 1e6).alias("weight"))
     )
-    ranked = slips.union(alias).groupBy("slip", "token").agg(F.max("weight").alias("weight"))
     # The options of one token are bounded by its edits and aliases, not by the number of rows.
-    many = ranked.groupBy("slip").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("weight"), F.col("token"))), False), lambda x: x.token).alias("options"))
+    many = slips.union(alias).groupBy("slip").agg(F.array_distinct(F.transform(F.sort_array(F.collect_set(F.struct("weight", "token")), False), lambda x: x.token)).alias("options"))
     beyond = mentions.where((F.size("slug") > 0) & (F.size(F.array_except("slug", "tokens")) == 0)).select("slug", F.explode(F.array_except("tokens", "slug")).alias("token")).where(F.length("token") > 1)
-    beyond = beyond.distinct().groupBy("token").agg(F.count("*").alias("times")).where("times >= 3").join(clean, "token", "left_anti").select("token", F.lit(True).alias("added"))
-    return vocabulary.join(many.withColumnRenamed("slip", "token"), "token", "left").join(beyond, "token", "left").select("token", "n", "clean", F.coalesce("added", F.lit(False)).alias("added"), F.coalesce("options", F.array().cast("array<string>")).alias("options"))
+    beyond = beyond.distinct().groupBy("token").agg(F.count("*").alias("times")).where("times >= 3")
+    none, nothing = F.array().cast("array<string>"), F.lit(False)
+    every = vocabulary.select("token", "n", "clean", nothing.alias("added"), none.alias("options")).union(many.select("slip", no, no, nothing, "options")).union(beyond.select("token", no, no, F.lit(True), none))
+    every = every.groupBy("token").agg(F.max("n").alias("n"), F.max("clean").alias("clean"), F.max("added").alias("added"), F.max("options").alias("options"))
+    dirty = F.col("clean") == 0
+    return every.select("token", "n", "clean", (F.col("added") & dirty).alias("added"), F.when(dirty, F.col("options")).otherwise(none).alias("options"))
 
 
 NOTHING = (0, 0, False, [])
@@ -132,6 +139,48 @@ def _alike(a: list[str], b: list[str]) -> float:
     return 1.0 if firsts else 0.0
 
 
+def assignment(fit: list[list[float]]) -> list[int]:
+    """The column of each row so that the sum of fits is largest; rows are not more than columns.
+
+    Rows enter one by one along shortest augmenting paths over row and column prices, so names of any length
+    are assigned optimally in cubic time.
+    """
+    n, m = len(fit), len(fit[0]) if fit else 0
+    high = [0.0] * (n + 1)
+    low = [0.0] * (m + 1)
+    row_of, came = [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, done = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            done[j] = True
+            here, step, to = row_of[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not done[k]:
+                    cost = -fit[here - 1][k - 1] - high[here] - low[k]
+                    if cost < least[k]:
+                        least[k], came[k] = cost, j
+                    if least[k] < step:
+                        step, to = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    high[row_of[k]] += step
+                    low[k] -= step
+                else:
+                    least[k] -= step
+            j = to
+            if not row_of[j]:
+                break
+        while j:
+            row_of[j] = row_of[came[j]]
+            j = came[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row_of[k]:
+            out[row_of[k] - 1] = k - 1
+    return out
+
+
 def compare_names(a: list[list[str]], b: list[list[str]]) -> tuple[float, int, int, int]:
     """Optimal assignment of the tokens of two names.
 
@@ -140,32 +189,9 @@ def compare_names(a: list[list[str]], b: list[list[str]]) -> tuple[float, int, i
     """
     if len(a) > len(b):
         a, b = b, a
-    from functools import cache as memo
-
     fit = [[_alike(x, y) for y in b] for x in a]
-
-    @memo
-    def best(i: int, used: int) -> tuple[float, tuple]:
-        if i == len(a):
-            return 0.0, ()
-        top = best(i + 1, used)
-        for j in range(len(b)):
-            if not used >> j & 1 and fit[i][j]:
-                rest = best(i + 1, used | 1 << j)
-                if rest[0] + fit[i][j] > top[0]:
-                    top = (rest[0] + fit[i][j], ((i, j), *rest[1]))
-        return top
-
-    if len(a) > 7 or len(b) > 12:  # long names: greedy from the best fit on
-        pairs, seen_a, seen_b, total = [], set(), set(), 0.0
-        for f, i, j in sorted(((fit[i][j], i, j) for i in range(len(a)) for j in range(len(b)) if fit[i][j]), reverse=True):
-            if i not in seen_a and j not in seen_b:
-                seen_a.add(i)
-                seen_b.add(j)
-                pairs.append((i, j))
-                total += f
-    else:
-        total, pairs = best(0, 0)
+    pairs = [(i, j) for i, j in enumerate(assignment(fit)) if fit[i][j]]
+    total = sum(fit[i][j] for i, j in pairs)
     full = sum(fit[i][j] >= 2 for i, j in pairs)
     initials = sum(fit[i][j] == 1 and max(len(a[i][0]), len(b[j][0])) > 1 for i, j in pairs)
     in_a, in_b = {i for i, _ in pairs}, {j for _, j in pairs}
@@ -179,31 +205,40 @@ def name_keys(names: DataFrame) -> DataFrame:
     kind "all" is every pair of full tokens of a name, "two" those of its two rarest places, "head" every full
     token with the first letter of another one, "initial" every full token with every initial.
     """
-    spread = names.select("whole", F.posexplode("name").alias("at", "x")).select("whole", "at", F.explode("x").alias("t"), F.get("x", 0).alias("own"))
-    full = spread.where(F.length("own") > 1).select("whole", "at", "t").distinct()
-    usual = full.groupBy("t").agg(F.count("*").alias("df"))
-    full = full.join(broadcast_if_small(usual, usual.count()), "t")
-    # A place is as usual as the most usual token that may stand in it.
-    places = full.groupBy("whole", "at").agg(F.max("df").alias("df"), F.collect_set("t").alias("ts"))
-    listed = places.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("df", "at", "ts"))).alias("places"))
-    initials = F.array_distinct(F.transform(F.filter("name", lambda x: F.length(F.get(x, 0)) == 1), lambda x: F.get(x, 0)))
-    listed = listed.join(names.select("whole", initials.alias("initials")), "whole")
-    many = F.sequence(F.lit(0), F.size("places") - 1)
-    ts = lambda i: F.get("places", i).ts
-
-    def tokens(i: Column, j: Column) -> Column:
-        return F.flatten(F.transform(ts(i), lambda x: F.transform(ts(j), lambda y: F.concat_ws("|", F.least(x, y), F.greatest(x, y)))))
-
-    def letters(i: Column, j: Column) -> Column:
-        return F.flatten(F.transform(ts(i), lambda x: F.transform(ts(j), lambda y: F.concat(x, F.lit("|"), F.substring(y, 1, 1)))))
+    spread = names.select("whole", "name", F.explode(F.array_distinct(F.flatten(F.filter("name", lambda x: F.length(F.get(x, 0)) > 1)))).alias("t"))
+    usual = spread.groupBy("t").agg(F.count("*").alias("df"))
+    told = spread.join(usual, "t").groupBy("whole").agg(F.first("name").alias("name"), F.collect_list(F.struct("t", "df")).alias("df"))
 
-    every = F.flatten(F.transform(many, lambda i: F.flatten(F.transform(F.filter(many, lambda j: j > i), lambda j: tokens(i, j)))))
-    rarest = F.when(F.size("places") > 1, tokens(F.lit(0), F.lit(1)))
-    heads = F.flatten(F.transform(many, lambda i: F.flatten(F.transform(F.filter(many, lambda j: j != i), lambda j: letters(i, j)))))
-    short = F.flatten(F.transform(many, lambda i: F.flatten(F.transform(ts(i), lambda x: F.transform("initials", lambda h: F.concat(x, F.lit("|"), h))))))
-    of_kind = lambda c, kind: F.transform(F.array_distinct(c), lambda k: F.struct(k.alias("k"), F.lit(kind).alias("kind")))
-    kinds = [of_kind(every, "all"), of_kind(F.coalesce(rarest, F.array().cast("array<string>")), "two"), of_kind(heads, "head"), of_kind(short, "initial")]
-    return listed.select("whole", F.explode(F.concat(*kinds)).alias("k")).select("whole", "k.k", "k.kind")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            wholes, ks, kinds = [], [], []
+            for whole, name, df in zip(one.column("whole").to_pylist(), one.column("name").to_pylist(), one.column("df").to_pylist(), strict=True):
+                for k, kind in keys_of(name, {x["t"]: x["df"] for x in df}):
+                    wholes.append(whole)
+                    ks.append(k)
+                    kinds.append(kind)
+            yield pa.RecordBatch.from_pydict({"whole": pa.array(wholes, pa.string()), "k": pa.array(ks, pa.string()), "kind": pa.array(kinds, pa.string())})
+
+    return told.mapInArrow(run, "whole string, k string, kind string")
+
+
+def keys_of(name: list[list[str]], df: dict[str, int]) -> set[tuple[str, str]]:
+    """(key, kind) of one settled name under the numbers of names in which its tokens occur."""
+    places = [(max(df[t] for t in x), i, x) for i, x in enumerate(name) if len(x[0]) > 1]
+    initials = {x[0] for x in name if len(x[0]) == 1}
+    pair = lambda x, y: {"|".join(sorted((s, t))) for s in x for t in y}
+    out = {(f"{t}|{h}", "initial") for _, _, x in places for t in x for h in initials}
+    for _, i, x in places:
+        for _, j, y in places:
+            if i < j:
+                out |= {(k, "all") for k in pair(x, y)}
+            if i != j:
+                out |= {(f"{t}|{u[0]}", "head") for t in x for u in y}
+    # A place is as usual as the most usual token that may stand in it.
+    rare = sorted(places)[:2]
+    if len(rare) == 2:
+        out |= {(k, "two") for k in pair(rare[0][2], rare[1][2])}
+    return out
 
 
 def meeting(keys: DataFrame) -> DataFrame:
@@ -214,8 +249,9 @@ def meeting(keys: DataFrame) -> DataFrame:
     both have. So one side's rarest pair is enough, and pairs of usual tokens ("imprimerie", "fils") never meet
     each other.
     """
-    side = lambda kind, name: keys.where(F.col("kind") == kind).select("k", F.col("whole").alias(name))
-    found = side("two", "x").join(side("all", "y"), "k").select("x", "y").union(side("initial", "x").join(side("head", "y"), "k").select("x", "y"))
+    # Keys of pairs and of letters differ in what stands behind the bar.
+    side = lambda kinds, name: keys.where(F.col("kind").isin(*kinds)).select("k", F.col("whole").alias(name))
+    found = side(("two", "initial"), "x").join(side(("all", "head"), "y"), "k")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -248,17 +284,16 @@ def link_names(mentions: DataFrame) -> DataFrame:
     Null keys are left out; a name without two tokens is its own author unless its tokens, year and place
     are those of another mention. Null years and places are unknown. Extra columns are not read.
     """
-    mentions = mentions.where("key is not null").select("key", "tokens", "slug", "year", "place")
-    names = mentions.select("tokens", "slug", "year", "place").distinct()
-    names = cut(names.withColumn("node", F.sha2(F.concat_ws("\u0001", F.array_join("tokens", " "), F.array_join("slug", " "), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("place", F.lit(""))), 256).substr(1, 24)))
-    known = cut(_options(mentions))
-
-    asked = names.select("node", F.explode(F.array_distinct(F.concat("tokens", F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 2, F.lit(0))), lambda i: F.coalesce(F.concat(F.get("tokens", i), F.get("tokens", i + 1)), F.lit(""))), "slug"))).alias("token"))
-    told = asked.join(broadcast_if_small(known, known.count()), "token").groupBy("node").agg(F.collect_list(F.struct("token", "n", "clean", "added", "options")).alias("known"))
+    node = F.sha2(F.concat_ws("\u0001", F.array_join("tokens", " "), F.array_join("slug", " "), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("place", F.lit(""))), 256).substr(1, 24)
+    mentions = cut(mentions.where("key is not null").select("key", "tokens", "slug", "year", "place").withColumn("node", node))
+    names = cut(mentions.groupBy("node").agg(*[F.first(c).alias(c) for c in ("tokens", "slug", "year", "place")], F.count("*").alias("times")))
+    known = _options(names)
+    asked = names.select("node", F.explode(F.array_distinct(F.concat("tokens", _joined("tokens"), "slug"))).alias("token"))
+    told = asked.join(known, "token").groupBy("node").agg(F.collect_list(F.struct("token", "n", "clean", "added", "options")).alias("known"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            columns = {c: one.column(c).to_pylist() for c in one.schema.names}
+            columns = {c: one.column(c).to_pylist() for c in ("tokens", "slug", "known")}
             settled = []
             for tokens, slug, known_ in zip(columns["tokens"], columns["slug"], columns["known"], strict=True):
                 d = {k["token"]: (k["n"], k["clean"], k["added"], k["options"]) for k in known_ or []}
@@ -266,39 +301,35 @@ def link_names(mentions: DataFrame) -> DataFrame:
                 if slug:
                     name = _prefer(name, list(slug))
                 settled.append(name)
-            yield pa.RecordBatch.from_arrays([one.column("node"), pa.array(settled, pa.list_(pa.list_(pa.string())))], names=["node", "name"])
+            yield pa.RecordBatch.from_arrays([one.column(c) for c in ("node", "year", "place")] + [pa.array(settled, pa.list_(pa.list_(pa.string())))], names=["node", "year", "place", "name"])
 
-    settled = names.select("node", "tokens", "slug").join(told, "node", "left").mapInArrow(settle, "node string, name array<array<string>>")
-    settled = cut(settled.join(names.select("node", "year", "place"), "node"))
+    settled = names.join(told, "node", "left").select("node", "year", "place", "tokens", "slug", "known").mapInArrow(settle, "node string, year int, place string, name array<array<string>>")
     # Names are compared once, however many nodes have them.
     settled = cut(settled.withColumn("whole", F.sha2(F.to_json("name"), 256).substr(1, 24)))
-    keys = cut(name_keys(settled.select("whole", "name").distinct()))
-    met = meeting(keys)
-    names_ = settled.select("whole", "name").distinct()
-    met = met.join(names_.toDF("a", "name_a"), "a").join(names_.toDF("b", "name_b"), "b")
+    wholes = cut(settled.select("whole", "name").distinct())
+    met = meeting(cut(name_keys(wholes)))
+    met = met.join(wholes.toDF("a", "name_a"), "a").join(wholes.toDF("b", "name_b"), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
             fits = [fit_of(x, y) for x, y in zip(one.column("name_a").to_pylist(), one.column("name_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(fits, pa.float64())], names=["a", "b", "fit"])
+            yield pa.RecordBatch.from_arrays([one.column("a"), one.column("b"), pa.array(fits, pa.float64())], names=["whole_a", "whole_b", "fit"])
 
-    fitting = cut(met.select("a", "b", "name_a", "name_b").mapInArrow(judge, "a string, b string, fit double").where("fit is not null"))
+    fitting = met.select("a", "b", "name_a", "name_b").mapInArrow(judge, "whole_a string, whole_b string, fit double").where("fit is not null")
     left, right = (settled.select(F.col("whole").alias("whole_" + x), F.col("node").alias(x), F.col("year").alias("year_" + x), F.col("place").alias("place_" + x)) for x in "ab")
-    fitting = fitting.withColumnsRenamed({"a": "whole_a", "b": "whole_b"}).join(left, "whole_a").join(right, "whole_b")
+    same = lambda c: F.coalesce(F.col(c + "_a") == F.col(c + "_b"), F.lit(False))
+    other = lambda c: F.coalesce(F.col(c + "_a") != F.col(c + "_b"), F.lit(False))
+    fitting = fitting.join(left, "whole_a").join(right, "whole_b")
     # Nodes of one name meet once.
-    fitting = fitting.where((F.col("whole_a") != F.col("whole_b")) | (F.col("a") < F.col("b"))).where(F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(True)))
-    fitting = cut(fitting.drop("whole_a", "whole_b"))
-    same_year = F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(False))
-    same_place = F.coalesce(F.col("place_a") == F.col("place_b"), F.lit(False))
-    other_place = F.coalesce(F.col("place_a") != F.col("place_b"), F.lit(False))
-    sure = fitting.where(same_year & ~other_place | same_place)
-    groups = cut(components(sure, "a", "b", "group"))
-    every = settled.select("node", "year", "place").join(groups.withColumnRenamed("key", "node"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    fitting = fitting.where(((F.col("whole_a") != F.col("whole_b")) | (F.col("a") < F.col("b"))) & ~other("year"))
+    fitting = cut(fitting.select("a", "b", "fit", (same("year") & ~other("place") | same("place")).alias("sure")))
+    groups = components(fitting.where("sure"), "a", "b", "group")
+    every = cut(settled.select("node", "year", "place").join(groups.withColumnRenamed("key", "node"), "node", "left").withColumn("group", F.coalesce("group", "node")))
     facts = cut(every.groupBy("group").agg(F.min("year").alias("year"), F.max("year").alias("year2"), F.min("place").alias("place"), F.max("place").alias("place2")))
     member = every.select("node", "group")
     # Between groups only fits without evidence are left; a group that fits several different authors stays alone.
     loose = (
-        fitting.where(~(same_year & ~other_place | same_place))
+        fitting.where("not sure")
         .join(member.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a")
         .join(member.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b")
         .where("ga <> gb")
@@ -307,23 +338,20 @@ def link_names(mentions: DataFrame) -> DataFrame:
         .agg(F.max("fit").alias("fit"))
     )
     fa, fb = (facts.select(F.col("group").alias("g" + x), *[F.col(c).alias(c + "_" + x) for c in ("year", "year2", "place", "place2")]) for x in "ab")
-    loose = loose.join(fa, "ga").join(fb, "gb")
-    clash = F.coalesce((F.col("year_a") != F.col("year_b")) | (F.col("year2_a") != F.col("year2_b")), F.lit(False)) | F.coalesce((F.col("place_a") != F.col("place_b")) | (F.col("place2_a") != F.col("place2_b")), F.lit(False))
-    loose = cut(loose.where(~clash))
-    ways = loose.select(F.col("ga").alias("g"), F.col("gb").alias("h"), "fit", F.col("year_b").alias("y"), F.col("place_b").alias("p")).union(loose.select("gb", "ga", "fit", "year_a", "place_a"))
-    top = ways.groupBy("g").agg(F.max("fit").alias("top"))
-    best = ways.join(top, "g").where("fit >= top")
-    own = facts.select(F.col("group").alias("g"), F.col("year").alias("own_y"), F.col("place").alias("own_p"))
-    torn = best.join(own, "g").groupBy("g").agg(F.count_distinct(F.coalesce("own_y", "y")).alias("ys"), F.count_distinct(F.coalesce("own_p", "p")).alias("ps"), F.count_distinct(F.when(F.col("y").isNotNull() | F.col("p").isNotNull(), F.concat_ws("|", F.coalesce(F.col("own_y"), F.col("y")).cast("string"), F.coalesce("own_p", "p")))).alias("sides"))
-    whole = torn.where((F.col("ys") < 2) & (F.col("ps") < 2)).select("g")
-    chosen = best.join(whole, "g", "left_semi").select("g", "h")
-    both = chosen.join(chosen.select(F.col("h").alias("g"), F.col("g").alias("h")), ["g", "h"], "left_semi").where("g < h")
-    one_way = chosen.join(own, "g").where("own_y is null and own_p is null").select("g", "h")
-    merged = cut(components(both.union(one_way), "g", "h", "author"))
+    loose = cut(loose.join(fa, "ga").join(fb, "gb").where(~(other("year") | other("year2") | other("place") | other("place2"))))
+    sides = lambda x, y: F.struct(F.col("g" + x).alias("g"), F.col("g" + y).alias("h"), "fit", *[F.col(f"{c}_{s}").alias(n) for c, s, n in (("year", x, "own_y"), ("place", x, "own_p"), ("year", y, "y"), ("place", y, "p"))])
+    ways = loose.select(F.explode(F.array(sides("a", "b"), sides("b", "a"))).alias("w")).select("w.*")
+    best = cut(ways.join(ways.groupBy("g").agg(F.max("fit").alias("top")), "g").where("fit >= top"))
+    year, place = F.coalesce("own_y", "y"), F.coalesce("own_p", "p")
+    one = lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True))
+    whole = best.groupBy("g").agg((one(year) & one(place)).alias("one")).where("one").select("g")
+    chosen = best.join(whole, "g").select(F.least("g", "h").alias("ga"), F.greatest("g", "h").alias("gb"), "g", (F.col("own_y").isNull() & F.col("own_p").isNull()).alias("silent"))
+    # Both chose each other, or one that says nothing of itself chose the other.
+    agreed = chosen.groupBy("ga", "gb").agg(F.max("silent").alias("silent"), (F.min("g") != F.max("g")).alias("both")).where("silent or both")
+    merged = components(agreed, "ga", "gb", "author")
     authors = member.join(merged.withColumnRenamed("key", "group"), "group", "left").select("node", F.coalesce("author", "group").alias("author"))
     # Nodes carry their own rows; equal rows have equal nodes.
-    keyed = mentions.withColumn("node", F.sha2(F.concat_ws("\u0001", F.array_join("tokens", " "), F.array_join("slug", " "), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("place", F.lit(""))), 256).substr(1, 24))
-    return keyed.select("key", "node").join(authors, "node").select("key", "author")
+    return mentions.select("key", "node").join(authors, "node").select("key", "author")
 
 
 # Words that open the name of a body, folded, with usual short forms.
