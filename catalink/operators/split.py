@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalink.runtime import broadcast_if_small
+from catalink.runtime import broadcast_if_small, cut
 
 #: Candidate delimiters by name. "words" takes blanks one by one.
 DELIMITERS = {
@@ -26,11 +26,15 @@ KINDS = {
     # Given name and family name, or a body, and perhaps a role in brackets.
     "contributor": r"[^;|\t\r\n,/()\s]+(?:/\w+)?(?:\s+[^;|\t\r\n,/()\s]+)+\s*(?:\(.*\))?|\w+\s*\(.*\)|Collectif",
 }
-#: A delimiter is used for a source when at least this share of its pieces has the kind of the field.
-REGULAR = 0.8
-#: Pieces of the whole table that a source's own counts are weighed against.
+#: A delimiter is used for a source when its score, regularity times consistency, is at least this.
+GOOD = 0.7
+#: Pieces and rows of the whole table that a source's own counts are weighed against.
 PRIOR = 20.0
 
+#: Characters without which a candidate cuts nothing.
+_MARKS = {"semicolon": ";", "bar": "|", "line": "\r\n", "tab": "\t", "slashes": "/", "spaced slash": "/", "slash": "/", "comma": ",", "blanks": " \u00a0", "words": " \u00a0"}
+_COARSE = ("semicolon", "bar", "line", "tab")
+
 _QUOTES = {'"': '"', "«": "»", "“": "”"}
 
 
@@ -68,9 +72,10 @@ def _shield(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _cut(text: str, pattern: re.Pattern) -> list[str]:
+def _cut(text: str, pattern: re.Pattern, spans: list[tuple[int, int]] | None = None) -> list[str]:
     """Pieces between the matches of pattern that lie in no shielded span."""
-    spans = _shield(text)
+    if spans is None:
+        spans = _shield(text)
     pieces, last, k = [], 0, 0
     for m in pattern.finditer(text):
         while k < len(spans) and spans[k][1] <= m.start():
@@ -93,6 +98,11 @@ def _kind(kind: str) -> re.Pattern:
     return re.compile(KINDS[kind], re.S)
 
 
+@cache
+def _kind_at(kind: str) -> re.Pattern:
+    return re.compile(KINDS[kind].replace(r"(?:\s*\(.*\))?", r"(?![\dXx])(?:\s*\([^()]*\))?"), re.S)
+
+
 def _bare(piece: str) -> str:
     """A piece without outer blanks and the quotation marks around all of it; doubled ones within made single."""
     piece = piece.strip()
@@ -112,9 +122,10 @@ def values_of(text: str | None, kind: str, delimiters: tuple[str, ...]) -> list[
     Strong delimiters cut wherever they stand outside quotation marks and brackets. Single blanks cut a piece
     only if every part is then of the kind, so that a number written with blanks stays whole.
     """
+    text = (text or "").strip()
     if not text:
         return []
-    strong = tuple(d for d in delimiters if d != "words")
+    strong = tuple(d for d in delimiters if d != "words" and _marked(text, d))
     pieces = _cut(text, _pattern(strong)) if strong else [text]
     if "words" in delimiters:
         finer = []
@@ -130,8 +141,7 @@ def values_of(text: str | None, kind: str, delimiters: tuple[str, ...]) -> list[
 
 def _blank_parts(piece: str, kind: str) -> list[str]:
     """The piece as values of the kind with blanks between them, or nothing if it is not such a row."""
-    parts, at = [], 0
-    found = re.compile(KINDS[kind].replace(r"(?:\s*\(.*\))?", r"(?![\dXx])(?:\s*\([^()]*\))?"), re.S)
+    parts, at, found = [], 0, _kind_at(kind)
     while at < len(piece):
         m = found.match(piece, at)
         if not m:
@@ -145,54 +155,73 @@ def _blank_parts(piece: str, kind: str) -> list[str]:
     return parts
 
 
+def _marked(text: str, name: str) -> bool:
+    return any(ch in text for ch in _MARKS[name])
+
+
+def judged(value: str, kind: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(candidate, pieces, regular pieces, consistent) for each candidate that cuts a value.
+
+    Pieces are judged after all coarser candidates. The cut is consistent if it leaves as many pieces as there
+    are values: every piece is one or is made of several under other candidates, and none is left empty-handed
+    between two that are whole. Single blanks are judged by whether an irregular piece falls wholly into values.
+    """
+    value = value.strip()
+    spans = _shield(value)
+    for name in DELIMITERS:
+        if not _marked(value, name):
+            continue
+        if name == "words":
+            whole = [p.strip() for p in _cut(value, _pattern(("semicolon", "bar", "line", "tab", "slashes", "slash", "comma", "blanks")), spans)]
+            parts = [_blank_parts(p, kind) for p in whole if " " in p and not _kind(kind).fullmatch(p)]
+            if parts:
+                yield name, len(parts), sum(map(bool, parts)), all(parts)
+            continue
+        pieces = [p for p in _cut(value, _pattern((name,)), spans) if p.strip()]
+        if len(pieces) < 2:
+            continue
+        inner = [q for p in pieces for q in (_cut(p, _pattern(_COARSE)) if any(_marked(p, c) for c in _COARSE) else [p]) if q.strip()]
+        good = [_regular(q, kind) or _mixed(q, kind) for q in inner]
+        yield name, len(inner), sum(good), sum(good) == len(inner)
+
+
 def infer_delimiters(rows: DataFrame, source: str, text: str, kind: str) -> DataFrame:
-    """(source, delimiters): for each source the candidates that cut its fields into regular pieces.
+    """(source, delimiters): for each source the candidates that cut its fields into regular pieces in consistent numbers.
 
-    A candidate's score is the share of its pieces that have the kind, over all rows that it cuts; single
-    blanks are judged by whether a piece falls wholly into values. A source's own counts are weighed against
-    those of the whole table, so that a source with few rows follows the table. Partial sums leave each
-    task, so a source with most of the rows is no burden. A null source is a source of its own.
+    A candidate's regularity is the share of its pieces that have the kind, over all rows that it cuts; its
+    consistency is the share of these rows whose number of pieces is their number of values (see judged). The
+    score is their product, each weighed against that of the whole table, so that a source with few rows
+    follows the table. Partial sums leave each task, so a source with most of the rows is no burden. A null
+    source is a source of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str | None, str], list[int]] = {}
         for one in batches:
             for src, value in zip(one.column(0).to_pylist(), one.column(1).to_pylist(), strict=True):
+                sums.setdefault((src, ""), [0, 0, 0, 0])
                 if not value or not value.strip():
                     continue
-                for name in DELIMITERS:
-                    if name == "words":
-                        whole = [p.strip() for p in _cut(value, _pattern(("semicolon", "bar", "line", "tab", "slashes", "slash", "comma", "blanks"))) if " " in p.strip()]
-                        parts = [_blank_parts(p, kind) for p in whole if not _kind(kind).fullmatch(p)]
-                        if parts:
-                            got = sums.setdefault((src, name), [0, 0, 0])
-                            got[0], got[1], got[2] = got[0] + 1, got[1] + len(parts), got[2] + sum(map(bool, parts))
-                        continue
-                    pieces = [p for p in _cut(value.strip(), _pattern((name,))) if p.strip()]
-                    if len(pieces) < 2:
-                        continue
-                    # A finer candidate is judged inside the pieces of all coarser ones.
-                    got = sums.setdefault((src, name), [0, 0, 0])
-                    got[0] += 1
-                    inner = [q for p in pieces for q in _cut(p, _pattern(("semicolon", "bar", "line", "tab"))) if q.strip()]
-                    got[1] += len(inner)
-                    got[2] += sum(_regular(q, kind) or _mixed(q, kind) for q in inner)
+                for name, pieces, regular, consistent in judged(value, kind):
+                    got = sums.setdefault((src, name), [0, 0, 0, 0])
+                    got[0], got[1], got[2], got[3] = got[0] + 1, got[1] + consistent, got[2] + pieces, got[3] + regular
         yield pa.RecordBatch.from_pydict(
-            {"src": pa.array([k[0] for k in sums], pa.string()), "name": pa.array([k[1] for k in sums], pa.string()), **{c: pa.array([v[i] for v in sums.values()], pa.int64()) for i, c in enumerate(("n", "pieces", "regular"))}}
+            {"src": pa.array([k[0] for k in sums], pa.string()), "name": pa.array([k[1] for k in sums], pa.string()), **{c: pa.array([v[i] for v in sums.values()], pa.int64()) for i, c in enumerate(("n", "consistent", "pieces", "regular"))}}
         )
 
-    counted = rows.select(F.col(source).cast("string").alias("src"), F.col(text).alias("text")).mapInArrow(run, "src string, name string, n long, pieces long, regular long")
-    counted = counted.groupBy("src", "name").agg(F.sum("pieces").alias("pieces"), F.sum("regular").alias("regular"))
-    # At most one row per candidate: the table's own shares.
-    overall = counted.groupBy("name").agg((F.sum("regular") / F.sum("pieces")).alias("share"))
-    names = F.explode(F.array(*[F.lit(n) for n in DELIMITERS])).alias("name")
-    sources = rows.select(F.col(source).cast("string").alias("src")).distinct().select("src", names)
-    scored = (
-        sources.join(F.broadcast(overall), "name")
-        .join(counted.withColumnRenamed("src", "s").withColumnRenamed("name", "d"), F.col("src").eqNullSafe(F.col("s")) & (F.col("name") == F.col("d")), "left")
-        .withColumn("score", (F.coalesce("regular", F.lit(0)) + F.lit(PRIOR) * F.col("share")) / (F.coalesce("pieces", F.lit(0)) + F.lit(PRIOR)))
-    )
-    return scored.groupBy("src").agg(F.array_sort(F.collect_list(F.when(F.col("score") >= REGULAR, F.col("name")))).alias("delimiters"))
+    counts = ("n", "consistent", "pieces", "regular")
+    counted = rows.select(F.col(source).cast("string").alias("src"), F.col(text).alias("text")).mapInArrow(run, "src string, name string, n long, consistent long, pieces long, regular long")
+    counted = cut(counted.groupBy("src", "name").agg(*[F.sum(c).alias(c) for c in counts]))
+    # One row per candidate, ten at most: the table's own shares.
+    overall = counted.where("name <> ''").groupBy("name").agg((F.sum("regular") / F.sum("pieces")).alias("regularity"), (F.sum("consistent") / F.sum("n")).alias("consistency")).collect()
+    weighed = lambda won, of, share: (F.coalesce(won, F.lit(0)) + F.lit(PRIOR * share)) / (F.coalesce(of, F.lit(0)) + F.lit(PRIOR))
+    good = []
+    for r in overall:
+        own = [F.max(F.when(F.col("name") == r["name"], F.col(c))) for c in counts]
+        score = weighed(own[3], own[2], r["regularity"]) * weighed(own[1], own[0], r["consistency"])
+        good.append(F.when(score >= GOOD, r["name"]))
+    chosen = F.array_sort(F.filter(F.array(*good), lambda x: x.isNotNull())) if good else F.array().cast("array<string>")
+    return counted.groupBy("src").agg(chosen.alias("delimiters"))
 
 
 def _mixed(piece: str, kind: str) -> bool:
@@ -208,8 +237,7 @@ def split_values(rows: DataFrame, key: str, source: str, text: str, kind: str) -
     Null, empty and blank fields give no row, empty values between delimiters no rang. Repeated rows give
     repeated values. Texts are cut whole, however long. Columns other than the three named are not read.
     """
-    found = infer_delimiters(rows, source, text, kind)
-    found = broadcast_if_small(found, found.count(), 100_000)
+    found = broadcast_if_small(cut(infer_delimiters(rows, source, text, kind)))
     ready = rows.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
     ready = ready.join(found, F.col("s").eqNullSafe(F.col("src")), "left").select("k", "text", F.coalesce("delimiters", F.array().cast("array<string>")).alias("delimiters"))
 

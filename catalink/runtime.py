@@ -51,6 +51,10 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast only where the counted rows are within the limit; otherwise the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """Hint a broadcast only where the rows were measured to take at most `limit` bytes; otherwise the join shuffles.
+
+    df should be a kept or checkpointed table: it is read once to be measured.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df

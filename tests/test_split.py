@@ -37,3 +37,11 @@ def test_delimiters_follow_the_source(spark):
     found = {r.src: r.delimiters for r in infer_delimiters(df, "s", "f", "inverted name").collect()}
     assert "bar" in found["p"] and "semicolon" in found["q"]
     assert "comma" not in found["p"]
+
+
+def test_score_needs_both_regular_pieces_and_consistent_numbers(spark):
+    # Every piece but one in ten is regular, yet hardly any row has as many pieces as values.
+    rows = [(f"r{i}", "s", " ; ".join(["Roy, Marie"] * 9 + ["x"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, s string, t string")
+    assert infer_delimiters(df, "s", "t", "inverted name").first().delimiters == []
+    assert values_of(" 9782736971904/9782527295285/ ", "isbn", ("slash",)) == ["9782736971904", "9782527295285"]
