@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,33 +51,35 @@ WHOLE_UTF8 = 4.0
 MIXED, MIXED_SCRIPTS = r"[A-Za-z][\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}][A-Za-z]", 3.0
 #: Signs that a right reading hardly ever holds: all beyond ASCII but the usual ones.
 ODD_SIGN = r"[^\p{L}\p{M}\x{0}-\x{7F}’‘“”«»–—…°©®™€£½¼¾²³¿¡§·•№]"
-BEAM = 12
+#: Slots of the letter model: letter pairs are counted by hash, so its size is the same for every alphabet.
+SLOTS = 1 << 18
+#: Spans with lost bytes are looked up among corpus words up to this length; longer ones are read letter by letter.
+LONGEST_WORD = 40
+
+
+def plain_case(word: str) -> str:
+    """A word in capitals counts as its lower-case form."""
+    return word.lower() if len(word) > 1 and word == word.upper() else word
+
+
+def slot(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % SLOTS
 
 
 @dataclass
 class Letters:
-    """A bigram model of letters; its size is bounded by the alphabet, checked where it is made."""
-
-    pairs: dict[str, dict[str, float]] = field(default_factory=dict)
-    floor: dict[str, float] = field(default_factory=dict)
+    """A bigram model of letters: counts of pairs and of first letters by slot, at most SLOTS of each."""
 
-    @staticmethod
-    def of(rows: list[tuple[str, str, float]]) -> Letters:
-        sums: dict[str, float] = {}
-        for a, _, n in rows:
-            sums[a] = sums.get(a, 0.0) + n
-        model = Letters({}, {a: math.log(0.02 / (s + 20.0)) for a, s in sums.items()})
-        for a, b, n in rows:
-            model.pairs.setdefault(a, {})[b] = math.log((n + 0.02) / (sums[a] + 20.0))
-        return model
+    pairs: dict[int, float] = field(default_factory=dict)
+    firsts: dict[int, float] = field(default_factory=dict)
 
     def step(self, a: str, b: str) -> float:
-        got = self.pairs.get(a)
-        return got.get(b, self.floor[a]) if got else -12.0
+        total = self.firsts.get(slot(a))
+        return math.log((self.pairs.get(slot(a + b), 0.0) + 0.02) / (total + 20.0)) if total else -12.0
 
     def word(self, w: str) -> float:
         total, a = 0.0, "^"
-        for b in w:
+        for b in plain_case(w):
             total += self.step(a, b)
             a = b
         return total + self.step(a, "$")
@@ -102,83 +105,134 @@ def _tables() -> tuple[dict[str, dict[str, int]], dict[str, dict[int, str]]]:
 
 
 def _utf8_from(lattice: list[int | None], i: int) -> list[tuple[int, str]]:
-    """Characters that may start at place i of a byte lattice, with the place after each; None is any byte."""
+    """Characters that may start at place i of a byte lattice, with the place after each; None is any byte beyond ASCII.
+
+    A character of three or four bytes needs its first byte or all the others.
+    """
     b = lattice[i]
     if b is not None and b < 0x80:
         return [(i + 1, chr(b))]
     out = []
-    leads = [b] if b is not None else [0xC3, 0xC5, 0xC2]
-    for lead in leads:
-        if 0xC2 <= lead <= 0xDF and i + 1 < len(lattice):
-            c = lattice[i + 1]
-            for low in [c] if c is not None else (range(0x80, 0xC0) if lead in (0xC3, 0xC5) else []):
-                if 0x80 <= low <= 0xBF:
-                    out.append((i + 2, chr((lead & 0x1F) << 6 | low & 0x3F)))
-        elif 0xE1 <= lead <= 0xEF and i + 2 < len(lattice):
-            c, d = lattice[i + 1], lattice[i + 2]
-            if c is not None and d is not None and 0x80 <= c <= 0xBF and 0x80 <= d <= 0xBF:
-                out.append((i + 3, chr((lead & 0x0F) << 12 | (c & 0x3F) << 6 | d & 0x3F)))
-            elif lead == 0xE2 and c in (0x80, None):
-                for low in [d] if d is not None else [0x98, 0x99, 0x9C, 0x9D, 0x93, 0x94, 0xA6]:
-                    if 0x80 <= low <= 0xBF:
-                        out.append((i + 3, chr(0x2000 | low & 0x3F)))
+    for size, first, last, mask in ((2, 0xC2, 0xDF, 0x1F), (3, 0xE0, 0xEF, 0x0F), (4, 0xF0, 0xF4, 0x07)):
+        tail = lattice[i + 1 : i + size]
+        if len(tail) < size - 1 or any(x is not None and not 0x80 <= x <= 0xBF for x in tail):
+            continue
+        if b is None and size > 2 and None in tail or size == 4 and tail.count(None) > 1:
+            continue
+        points = [lead & mask for lead in ([b] if b is not None else range(first, last + 1)) if first <= lead <= last]
+        for x in tail:
+            points = [p << 6 | low & 0x3F for p in points for low in ([x] if x is not None else range(0x80, 0xC0))]
+        least = (0x80, 0x800, 0x10000)[size - 2]
+        out += [(i + size, chr(p)) for p in points if least <= p <= 0x10FFFF and not 0xD800 <= p <= 0xDFFF]
     return out
 
 
-#: What one byte lost to a UTF-8 reader may have been.
-_LOSABLE = "àâäçèéêëîïôöùûüÿœæÀÂÇÈÉÊËÎÏÔÙÛŒÆ’‘«»“”–—…°"
+def image(word: str, true: str, read: str, times: int, to: dict, of: dict) -> str | None:
+    """What a word becomes in a channel, lost bytes as LOST; None if the channel has no way to write it."""
+    for _ in range(times):
+        try:
+            raw = word.encode("utf-8") if true == "utf-8" else bytes(ord(c) if c.isascii() else to[true][c] for c in word)
+        except (KeyError, UnicodeEncodeError):
+            return None
+        if read == "utf-8":
+            word = raw.decode("utf-8", "replace")
+        else:
+            word = "".join(c if c.isprintable() or b < 0x80 or c == "\xa0" or c == "\xad" else LOST for b, c in ((b, of[read][b]) for b in raw))
+    return word
+
+
+def word_spans(piece: str) -> list[tuple[int, int]]:
+    """(start, end) of the spans of a piece that may be a word: they begin and end at its ends or at lost bytes."""
+    at = [0, *sorted({x for i, c in enumerate(piece) if c == LOST or not c.isalpha() for x in (i, i + 1)} - {0, len(piece)}), len(piece)]
+    return [(i, j) for n, i in enumerate(at) for j in at[n + 1 :] if j - i <= LONGEST_WORD]
 
 
-def readings(piece: str, letters: Letters, tables: tuple | None = None) -> list[tuple[str, str]]:
-    """(channel, text): the best decodings of a piece, by a beam search over the byte lattice of each channel."""
+def readings(piece: str, letters: Letters, tables: tuple | None = None, arcs: list[tuple[int, int, str, str, float]] = (), unknown: float = -16.0) -> list[tuple[str, str]]:
+    """(channel, text): the best decoding of a piece in each channel, by Viterbi search over its byte lattice.
+
+    arcs are corpus words that may stand in the piece: (start, end, channel or "" for any, word, log-frequency).
+    """
     to, of = tables or _tables()
     found: list[tuple[str, str]] = []
+    known = "".join(c for c in piece if c.isascii())
+    capitals = bool(known) and known == known.upper()
     for name, (true, read, times) in CHANNELS.items():
-        texts = [piece]
-        for _ in range(times):
-            texts = [t for x in texts for t in _decode(x, true, read, letters, to, of)]
-        found += [(name, t) for t in dict.fromkeys(texts) if t != piece]
+        text: str | None = piece
+        for n in range(times):
+            own = [(i, j, w, lp) for i, j, channel, w, lp in arcs if channel in ("", name)] if times == 1 or not n else []
+            moves = _moves(text, true, read, to, of)
+            text = viterbi(moves, letters, own if times == 1 else [], unknown, capitals) if moves else None
+            if text is None:
+                break
+        if text is not None and text != piece:
+            found.append((name, text))
     return found
 
 
-def _decode(piece: str, true: str, read: str, letters: Letters, to: dict, of: dict) -> list[str]:
+def _moves(piece: str, true: str, read: str, to: dict, of: dict) -> list[list[tuple[int, str]]] | None:
+    """The byte lattice of a piece as the characters that may start at each place; None if the channel can't give it."""
     if read == "utf-8":
         if LOST not in piece:
-            return []
-        steps = [list(_LOSABLE) if c == LOST else [c] for c in piece]
-        return _beam([[(i + 1, c) for c in s] for i, s in enumerate(steps)], letters)
+            return None
+        high = [c for b, c in of[true].items() if b >= 0x80 and c.isprintable()]
+        return [[(i + 1, x) for x in (high if c == LOST else [c])] for i, c in enumerate(piece)]
     lattice: list[int | None] = []
     for c in piece:
         b = None if c == LOST else to[read].get(c)
         if b is None and c != LOST:
-            return []
+            return None
         lattice.append(b)
-    if true == "utf-8":
-        if not any(b is None or b >= 0xC2 for b in lattice):
-            return []
-        moves = [_utf8_from(lattice, i) for i in range(len(lattice))]
-        # A letter whose last byte was lost for good: the lead byte alone stands for it.
-        for i, b in enumerate(lattice):
-            if b == 0xC3 and not moves[i] and i + 1 == len(lattice):
-                moves[i] = [(i + 1, "à")]
-    else:
-        if None in lattice:
-            return []
-        moves = [[(i + 1, of[true][b])] for i, b in enumerate(lattice)]
-    return _beam(moves, letters)
-
-
-def _beam(moves: list[list[tuple[int, str]]], letters: Letters) -> list[str]:
-    """The likeliest paths from the first to the last place, at most BEAM at each place."""
-    at: list[list[tuple[float, str]]] = [[] for _ in range(len(moves) + 1)]
-    at[0] = [(0.0, "")]
-    for i, options in enumerate(moves):
-        here = sorted(at[i], key=lambda x: -x[0])[:BEAM]
-        for cost, text in here:
-            last = text[-1] if text and text[-1].isalpha() else "^"
-            for j, c in options:
-                at[j].append((cost + (letters.step(last, c) if c.isalpha() else -4.0), text + c))
-    return [t for _, t in sorted(at[-1], key=lambda x: -x[0])[:BEAM]]
+    if true != "utf-8":
+        high = [c for b, c in of[true].items() if b >= 0x80 and c.isprintable()]
+        return [[(i + 1, x) for x in (high if b is None else [of[true][b]])] for i, b in enumerate(lattice)]
+    if not any(b is None or b >= 0xC2 for b in lattice):
+        return None
+    moves = [_utf8_from(lattice, i) for i in range(len(lattice))]
+    # A letter whose last byte, a blank to many readers, was trimmed: the lead byte alone stands for it.
+    if lattice[-1] == 0xC3 and not moves[-1]:
+        moves[-1] = [(len(lattice), "à")]
+    return moves
+
+
+def viterbi(moves: list[list[tuple[int, str]]], letters: Letters, arcs: list[tuple[int, int, str, float]] = (), unknown: float = -16.0, capitals: bool = False) -> str | None:
+    """The likeliest text along a lattice, None if no path goes through.
+
+    States are places with the last letter of an unfinished word, or none between words; of each only the best
+    path lives on, so the search is exact. A path's score is half the log-frequency of its words and half
+    their log-probability by letters. Corpus words enter as arcs over whole spans; a word spelled letter by
+    letter counts as unknown. Among capitals letters count as lower-case ones, real lower-case ones less.
+    """
+    n = len(moves)
+    best: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
+    best[0][""] = (0.0, "")
+    words: dict[int, list[tuple[int, str, float]]] = {}
+    for i, j, w, lp in arcs:
+        words.setdefault(i, []).append((j, w, 0.5 * lp + 0.5 * letters.word(w)))
+
+    def offer(place: int, state: str, score: float, text: str) -> None:
+        held = best[place].get(state)
+        if held is None or score > held[0]:
+            best[place][state] = (score, text)
+
+    for i in range(n + 1):
+        for last, (score, text) in list(best[i].items()):
+            if last:
+                offer(i, "", score + 0.5 * letters.step(last, "$") + 0.5 * unknown, text)
+        if i == n:
+            break
+        for last, (score, text) in list(best[i].items()):
+            if not last:
+                for j, w, gain in words.get(i, ()):
+                    offer(j, "", score + gain, text + w)
+            for j, c in moves[i]:
+                if c.isalpha():
+                    x = c.lower() if capitals and len(c.lower()) == 1 else c
+                    offer(j, x, score + 0.5 * letters.step(last or "^", x) - (capitals and c.islower()), text + c)
+                elif not last:
+                    # An apostrophe between letters says little; other signs count as unknown unless an arc has them.
+                    quiet = c in "’'" and text[-1:].isalpha()
+                    offer(j, "", score + (-1.0 if quiet else 0.5 * letters.word(c) + 0.5 * unknown), text + c)
+    return best[n][""][1] if "" in best[n] else None
 
 
 def _tokens(text: str) -> list[str]:
@@ -227,8 +281,9 @@ def restore(rows: DataFrame, entity: str = "entity", key: str = "row_key", text:
     """(entity, key, text, restored): the rows with wrongly decoded characters and their likeliest text.
 
     Corpus: the frequencies of all tokens of all rows, and the letter pairs of these tokens. For each distinct
-    piece beyond ASCII the channels' byte lattices give readings, lost bytes being wildcards; a text's score
-    is the mean of its tokens' log-frequency and of their log-probability by letters, and more for whole UTF-8. In each field the
+    piece beyond ASCII each channel's byte lattice gives its likeliest reading by Viterbi search, lost bytes being
+    wildcards; where bytes are lost, the corpus words that become a span of the piece in the channel are arcs of
+    the lattice. A text's score is the mean of its tokens' log-frequency and of their log-probability by letters, and more for whole UTF-8. In each field the
     suspected pieces are decoded together by Viterbi search over channels. Every row with a lost byte (U+FFFD)
     or a C1 control character is returned, restored as far as a reading was found.
 
@@ -237,32 +292,58 @@ def restore(rows: DataFrame, entity: str = "entity", key: str = "row_key", text:
     """
     rows = rows.select(F.col(entity).alias("entity"), F.col(key).alias("row_key"), F.col(text).alias("text")).where(F.length("text") > 0)
     spark = rows.sparkSession
-    vocabulary = cut(rows.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    plain = lambda t: F.when((F.length(t) > 1) & (F.upper(t) == t), F.lower(t)).otherwise(t)
+    vocabulary = cut(rows.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).groupBy(plain(F.col("token")).alias("token")).agg(F.count("*").alias("n")))
     total = vocabulary.agg(F.sum("n")).first()[0] or 1
+    unknown = math.log(0.05 / float(total))
     spelled = F.concat(F.array(F.lit("^")), F.split(F.col("token"), ""), F.array(F.lit("$")))
-    pairs = vocabulary.select("n", spelled.alias("c")).select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("a"), F.get("c", i + 1).alias("b")))).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-    pairs = cut(pairs)
-    if pairs.count() > 2_000_000:
-        raise ValueError("more letter pairs than any alphabet has")
-    model = Letters.of([(r.a, r.b, float(r.n)) for r in pairs.toLocalIterator()])
-    letters = spark.sparkContext.broadcast((model.pairs, model.floor))  # plain values: workers need not import this module
+    at = lambda text: F.pmod(F.crc32(text.cast("binary")), F.lit(SLOTS)).cast("int")
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.array(F.struct(F.lit(True).alias("pair"), at(F.concat(F.get("c", i), F.get("c", i + 1))).alias("slot")), F.struct(F.lit(False).alias("pair"), at(F.get("c", i)).alias("slot")))))
+    slots = vocabulary.select("n", spelled.alias("c")).select("n", F.explode(steps).alias("s")).groupBy("s.pair", "s.slot").agg(F.sum("n").alias("n"))
+    model = Letters()
+    for r in slots.toLocalIterator():
+        (model.pairs if r.pair else model.firsts)[r.slot] = float(r.n)
+    letters = spark.sparkContext.broadcast((model.pairs, model.firsts))  # plain values: workers need not import this module
+
+    pieces = cut(rows.select(F.explode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count("*").alias("seen")).select("piece"))
+
+    def imagine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to, of = _tables()
+        for batch in batches:
+            out = []
+            for token, lp in zip(batch["token"], batch["lp"], strict=True):
+                out.append((token, "", token, lp))
+                # A word known in one case stands, a little less likely, for its other cases.
+                for word in dict.fromkeys((token, token.lower(), token.upper(), token.capitalize())) if not token.isascii() else ():
+                    for name, channel in CHANNELS.items():
+                        seen = image(word, *channel, to, of) if channel[2] == 1 else None
+                        if seen and LOST in seen:
+                            out.append((seen, name, word, lp if word == token else lp - 1.0))
+            yield pd.DataFrame(out, columns=["image", "channel", "word", "lp"])
+
+    def lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(p, i, j, p[i:j]) for p in batch["piece"] for i, j in word_spans(p)], columns=["piece", "i", "j", "image"])
 
-    pieces = rows.select(F.explode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count("*").alias("seen"))
+    short = vocabulary.where(F.length("token") <= LONGEST_WORD).select("token", F.log((F.col("n") + 0.05) / F.lit(float(total))).alias("lp"))
+    images = short.mapInPandas(imagine, "image string, channel string, word string, lp double")
+    asked = pieces.where(F.col("piece").contains(LOST)).mapInPandas(lookups, "piece string, i int, j int, image string")
+    # Words that a piece with lost bytes may hold: their number is bounded by its spans and by the words of one image.
+    arcs = asked.join(images, "image").groupBy("piece").agg(F.collect_list(F.struct("i", "j", "channel", "word", "lp")).alias("arcs"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, tables = Letters(*letters.value), _tables()
         for batch in batches:
             out: list[tuple] = []
-            for piece in batch["piece"]:
-                options = [("", piece), *readings(piece, model, tables)]
-                for channel, t in options:
-                    words = _scored(t)
+            for piece, arcs in zip(batch["piece"], batch["arcs"], strict=True):
+                found = [] if arcs is None else [(x["i"], x["j"], x["channel"], x["word"], x["lp"]) for x in arcs]
+                for channel, t in [("", piece), *readings(piece, model, tables, found, unknown)]:
+                    words = [plain_case(w) for w in _scored(t)]
                     out.append((piece, channel, t, words, float(sum(map(model.word, words)))))
             yield pd.DataFrame(out, columns=["piece", "channel", "reading", "tokens", "by_letters"])
 
-    read = cut(pieces.repartition(F.col("piece")).select("piece").mapInPandas(decode, "piece string, channel string, reading string, tokens array<string>, by_letters double"))
+    read = cut(pieces.join(arcs, "piece", "left").mapInPandas(decode, "piece string, channel string, reading string, tokens array<string>, by_letters double"))
     known = vocabulary.select("token", F.log((F.col("n") + 0.05) / F.lit(float(total))).alias("lp"))
-    unknown = math.log(0.05 / float(total))
     by_words = read.select("piece", "channel", "reading", F.explode("tokens").alias("token")).join(known, "token", "left").groupBy("piece", "channel", "reading").agg(F.sum(F.coalesce("lp", F.lit(unknown))).alias("by_words"))
     sure = F.col("piece").rlike("[\\x{80}-\\x{9F}\\x{FFFD}]")
     scored = (
@@ -280,7 +361,7 @@ def restore(rows: DataFrame, entity: str = "entity", key: str = "row_key", text:
     scored = cut(scored)
     spans = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     odd = rows.where(F.col("text").rlike("[^\\x{0}-\\x{7F}]"))
-    met = odd.select("entity", "row_key", "text", F.posexplode(spans).alias("place", "piece")).join(broadcast_if_small(scored, scored.count()), "piece")
+    met = odd.select("entity", "row_key", "text", F.posexplode(spans).alias("place", "piece")).join(broadcast_if_small(scored), "piece")
     fields = met.groupBy("entity", "row_key").agg(F.first("text").alias("text"), F.collect_list(F.struct("place", "piece", "options")).alias("pieces"))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ def test_round_trip_through_wrong_encodings(spark):
     got = {r.row_key: r.restored for r in restore(df).collect()}
     assert not [k for k in got if k[0] in "cnea" or k == "long"]
     assert {k for k, b, t in bad if b != t} == set(got)
-    assert sum(got[k] == t for k, b, t in bad if b != t) >= 0.85 * len(got)
+    assert sum(got[k] == t for k, b, t in bad if b != t) >= 0.95 * len(got)
     assert restore(df.limit(0)).count() == 0
 
 
@@ -34,7 +34,7 @@ def test_viterbi_stays_in_a_channel():
     two = (1, "y", [("", "y", -10.0), ("m", "è", -9.5), ("n", "ô", -9.4)])
     assert best_path([two, one]) == [(0, "é"), (1, "è")]
     assert best_path([]) == []
-    assert Letters.of([]).word("a") < 0
+    assert Letters().word("a") < 0
 
 
 def mentions(spark, rows):
@@ -78,3 +78,61 @@ def test_books_without_common_keys(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, same_as_sql, name):
     same_as_sql(queries()[name](spark, "/root/testdata/sf0.001"), oracle_sql()[name])
+
+
+def test_planted_damage_is_restored(spark):
+    """Clean titles of the tables, a tenth of them sent through wrong channels: nearly all come back as they were."""
+    from pyspark.sql import functions as F
+
+    clean = spark.read.parquet("/root/testdata/sf0.01/livre.parquet").where("titre is not null").select("titre").distinct().where(~F.col("titre").rlike("[^ -~À-ÿœŒ’]|[ÃÂ]"))
+    titles = sorted(r.titre for r in clean.collect())
+    ways = [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("utf-8", "cp850"), ("utf-8", "iso8859-15"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("mac_roman", "cp1252"), ("cp1252", "utf-8")]
+    rows, want, n = [], {}, 0
+    for i, t in enumerate(titles):
+        text = t
+        if not t.isascii() and i % 6 == 0:
+            true, read = ways[n % len(ways)]
+            n += 1
+            try:
+                text = t.encode(true).decode(read, "replace")
+            except UnicodeEncodeError:
+                text = t
+            if text != t:
+                want[str(i)] = t
+        rows.append(("t", str(i), text))
+    got = {r.row_key: r.restored for r in restore(spark.createDataFrame(rows, "entity string, row_key string, text string")).collect()}
+    assert len(want) > 80
+    assert len(set(got) & set(want)) >= 0.98 * len(want) and len(set(got) - set(want)) <= 1
+    assert sum(got.get(k) == t for k, t in want.items()) >= 0.95 * len(want)
+
+
+def test_search_equals_all_paths():
+    import itertools
+    import random
+
+    from catalink.llm.encoding import slot, viterbi
+
+    rnd = random.Random(5)
+    letters = Letters({slot(a + b): rnd.randint(0, 50) for a in "^abcé" for b in "abcé$"}, {slot(a): 90.0 for a in "^abcé"})
+    for _ in range(30):
+        moves = [[(i + 1, c) for c in rnd.sample("abcé’", rnd.randint(1, 3))] for i in range(5)]
+        arcs = [(0, 3, "abé", -3.0), (3, 5, "cé", -2.0), (1, 5, "bcab", -4.0)]
+
+        # Every way to spell the letters with no arc: split at signs, words unknown.
+        best = None
+        for path in itertools.product(*[[c for _, c in m] for m in moves]):
+            total, word, text = 0.0, "", ""
+            for c in [*path, None]:
+                if c is not None and c.isalpha():
+                    word += c
+                    text += c
+                    continue
+                if word:
+                    total += 0.5 * letters.word(word) - 8.0
+                    word = ""
+                if c is not None:
+                    total += -1.0 if text[-1:].isalpha() else 0.5 * letters.word(c) - 8.0
+                    text += c
+            best = max(best or (total, text), (total, text))
+        assert viterbi(moves, letters) == best[1] or abs(best[0]) < 1e-9
+        assert viterbi(moves, letters, arcs) is not None
