@@ -20,9 +20,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """One surviving record per page or notice, built field by field by votes alone."""
+    """One surviving record per page or notice, built field by field from the claims alone."""
     said = fusion.book_claims(read(spark, d, "babelio_book"), read(spark, d, "livre"))
-    best = fusion.discover(said, recency=0.0)
+    best = fusion.discover(said, prior=None)
     fields = ["editor", "edition_date", "nb_pages", "annee"]
     return best.groupBy("entity", "group_key").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in fields], F.round(F.avg("support"), 6).alias("mean_support"))
 

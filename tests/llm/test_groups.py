@@ -102,7 +102,7 @@ def test_votes_find_the_reliable_source(spark):
         for s, v in (("good", "true"), ("fair", "true" if g % 3 else "odd"), ("bad", f"wrong{g}")):
             n += 1
             rows.append((f"g{g}", n, s, v, t(2020, 1, 1 + (s == "bad")), ""))
-    votes = {r.group_key: r.value for r in discover(said(spark, rows), recency=0.0).collect()}
+    votes = {r.group_key: r.value for r in discover(said(spark, rows), prior=None).collect()}
     assert sum(v == "true" for v in votes.values()) == 40
     newest = {r.value for r in discover(said(spark, rows)).collect()}
     assert all(v.startswith("wrong") for v in newest)
@@ -135,3 +135,16 @@ def test_labels_rest_and_hubs_are_met_in_parts(spark):
         while edge:
             edge = [w for u in edge for w in near[u] if w not in seen and not seen.add(w) and not hops.update({w: hops[u] + 1})]
         assert c == min(hops, key=lambda w: (hops[w] - starts[w], w))
+
+
+def test_rounds_lead_from_the_majority_to_the_newest(spark, same_as_sql):
+    from catalink.llm.fusion import book_claims
+    from catalink.llm.sql import SQL
+    from catalink.runtime import read
+
+    d = "/root/testdata/sf0.01"
+    made = book_claims(read(spark, d, "babelio_book"), read(spark, d, "livre"))
+    keys = ["entity", "group_key", "field_name", "rec_id"]
+    same_as_sql(discover(made).select(*keys), SQL["p1_found"], d)
+    with pytest.raises(AssertionError):
+        same_as_sql(discover(made, rounds=0).select(*keys), SQL["p1_found"], d)
