@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalink.functions import text
+from catalink.runtime import cut
 
 #: Shape of a book record, whatever its source.
 BOOK = ("id", "data_base", "title", "authors", "isbns", "title_raw", "authors_raw", "isbns_raw")
@@ -125,10 +126,11 @@ def _signature(c: Column) -> Column:
     return total
 
 
-def similar_texts(left: DataFrame, right: DataFrame, k: int = 4) -> DataFrame:
+def similar_texts(left: DataFrame, right: DataFrame | None = None, k: int = 4) -> DataFrame:
     """(a, b): all pairs of texts with d < max(1, m/k), by partition into segments.
 
-    left and right have one column of distinct texts. The shorter text of a pair is cut into one segment more
+    left and right have one column of distinct texts; without right, left is compared with itself, each pair coming
+    in both orders. The shorter text of a pair is cut into one segment more
     than the distance allowed, so one of them stands unchanged in the longer text, shifted by the distance at
     most; only pairs with such a segment are compared. Two empty texts are equal; nulls match nothing.
     """
@@ -144,10 +146,11 @@ def similar_texts(left: DataFrame, right: DataFrame, k: int = 4) -> DataFrame:
             probe = probe.where("n < len")
         probe = probe.select("l", "sig_l", "n", (F.col("len") - F.col("n")).alias("gap"), F.explode(F.sequence(F.lit(0), _pieces(F.col("n"), k) - 1)).alias("i"))
         probe = probe.withColumn("at", _start(F.col("i"), F.col("n"), _pieces(F.col("n"), k))).withColumn("w", _start(F.col("i") + 1, F.col("n"), _pieces(F.col("n"), k)) - F.col("at"))
-        # Segment i can be shifted by i edits to its left, and by the length gap and the edits to its right.
+        # Of the unchanged segments one has at most i edits before it and at most t - i behind it, so it is shifted by
+        # i places at most, and as far from the length gap by the rest.
         t = bound(F.col("n"), k)
-        low = F.greatest(F.lit(1), F.col("at") - F.least(F.col("i"), t))
-        high = F.least(F.col("at") + F.least(F.col("i"), t) + F.col("gap"), F.length("l") - F.col("w") + 1, F.col("at") + t)
+        low = F.greatest(F.lit(1), F.col("at") - F.col("i"), F.col("at") + F.col("gap") - (t - F.col("i")))
+        high = F.least(F.col("at") + F.col("i"), F.col("at") + F.col("gap") + (t - F.col("i")), F.length("l") - F.col("w") + 1)
         probe = probe.where(high >= low).select("l", "sig_l", "n", "i", "w", F.explode(F.sequence(low, high)).alias("p")).select("l", "sig_l", "n", "i", F.substring(F.col("l"), F.col("p"), F.col("w")).alias("seg"))
         keys = lambda d: d.withColumn("key", F.xxhash64("n", "i", "seg"))
         met = keys(index).select("key", "s", "sig_s").join(keys(probe).select("key", "l", "sig_l"), "key")
@@ -156,6 +159,13 @@ def similar_texts(left: DataFrame, right: DataFrame, k: int = 4) -> DataFrame:
         near = F.call_function("levenshtein", F.col("s"), F.col("l"), bound(F.length("s"), k)) >= 0
         return met.where((F.length("l") - F.length("s")).between(0, bound(F.length("s"), k)) & near).select("s", "l").distinct()
 
+    left = cut(left)
+    if right is None:
+        met = one_way(left, left, False)
+        pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        both = F.when(F.length("s") < F.length("l"), F.array(pair("s", "l"), pair("l", "s"))).otherwise(F.array(pair("s", "l")))
+        return met.select(F.explode(both).alias("p")).select("p.a", "p.b")
+    right = cut(right)
     first = one_way(left, right, False).select(F.col("s").alias("a"), F.col("l").alias("b"))
     second = one_way(right, left, True).select(F.col("l").alias("a"), F.col("s").alias("b"))
     return first.union(second)
@@ -167,11 +177,11 @@ def linked_pairs(books: DataFrame, symmetric: bool = False) -> DataFrame:
     Every case that says anything needs a common ISBN prefix or similar titles, so the blocks lose nothing.
     Titles are compared once per distinct pair. Each unordered pair comes once, or twice with symmetric.
     """
-    b = books.withColumn("uid", F.concat_ws("|", "data_base", "id"))
+    b = cut(books.withColumn("uid", F.concat_ws("|", "data_base", "id")))
     prefixes = b.select("uid", F.explode(F.array_distinct(F.transform("isbns", lambda i: F.substring(i, 1, 12)))).alias("p"))
     by_isbn = prefixes.toDF("u1", "p").join(prefixes.toDF("u2", "p"), "p").where("u1 < u2").select("u1", "u2")
     titles = b.select("title").where("title is not null").distinct()
-    near = similar_texts(titles, titles)
+    near = similar_texts(titles)
     ids = b.select("title", "uid")
     by_title = near.join(ids.toDF("a", "u1"), "a").join(ids.toDF("b", "u2"), "b").where("u1 < u2").select("u1", "u2")
     pairs = by_isbn.union(by_title).distinct()

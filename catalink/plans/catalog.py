@@ -38,14 +38,13 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
 
 # --- linkage --------------------------------------------------------------------------------------------------
 
-ASCII = r"[^ -~]"
-
 _CASE = """CASE WHEN isbn = 'NEQ' AND eq AND who = 'NOINFO' THEN 'ISBN_DIFF_TITRE_EQ' WHEN isbn = 'NEQ' AND eq AND who = 'EQ' THEN 'ISBN_DIFF_TITRE_AUTEUR_EQ'
   WHEN isbn = 'EQ' AND eq THEN 'ISBN_TITRE_EQ' WHEN isbn = 'EQ' AND NOT far THEN 'ISBN_EQ_TITRE_DIFF' WHEN isbn = 'EQ' THEN 'ISBN_EQ_TITRE_T_DIFF'
   WHEN isbn = 'NOINFO' AND eq AND who = 'NEQ' THEN 'TITRE_EQ_AUTEUR_DIFF' WHEN isbn = 'NOINFO' AND eq AND who = 'NOINFO' THEN 'TITRE_EQ'
   WHEN isbn = 'NOINFO' AND eq AND who = 'EQ' THEN 'TITRE_AUTEUR_EQ' ELSE 'PAS_INFO' END"""
 _PAIRS = f"""WITH {q.BOOKS},
-b AS MATERIALIZED (SELECT uid, data_base, {q.ascii_only('title')} t, isbns, list_transform(isbns, lambda x: left(x, 12)) p, flatten(list_transform(authors, lambda x: string_split(x, ' '))) w, authors FROM books),
+{q.odd_signs('SELECT title t FROM books')},
+b AS MATERIALIZED (SELECT uid, data_base, {q.one_byte('title')} t, isbns, list_transform(isbns, lambda x: left(x, 12)) p, flatten(list_transform(authors, lambda x: string_split(x, ' '))) w, authors FROM books),
 pairs AS (SELECT l.uid u1, r.uid u2, l.t t1, r.t t2, levenshtein(l.t, r.t) d, least(length(l.t), length(r.t)) m,
     CASE WHEN len(l.isbns) = 0 OR len(r.isbns) = 0 THEN 'NOINFO' WHEN list_has_any(l.p, r.p) THEN 'EQ' ELSE 'NEQ' END isbn,
     CASE WHEN len(l.authors) = 0 OR len(r.authors) = 0 THEN 'NOINFO' WHEN list_has_any(l.w, r.w) THEN 'EQ' ELSE 'NEQ' END who
@@ -56,7 +55,7 @@ cased AS (SELECT u1, u2, {_CASE} "case" FROM judged WHERE isbn = 'EQ' OR eq)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return match.linked_pairs(_books(spark, d).withColumn("title", F.regexp_replace("title", ASCII, "")))
+    return match.linked_pairs(_books(spark, d))
 
 
 @query(_PAIRS + 'SELECT "case", count(*) n FROM cased GROUP BY 1')
@@ -77,14 +76,15 @@ def case_examples(spark: SparkSession, d: str) -> DataFrame:
     return match.first_per_case(_pairs(spark, d))
 
 
-_TITLES = f"""a AS MATERIALIZED (SELECT DISTINCT {q.ascii_only(q.normal('title'))} a FROM babelio_book WHERE title IS NOT NULL),
-b AS MATERIALIZED (SELECT DISTINCT {q.ascii_only(q.normal('titre'))} b FROM livre WHERE titre IS NOT NULL),
-p AS (SELECT a, b, levenshtein(a, b) d, least(length(a), length(b)) m FROM a, b WHERE abs(length(a) - length(b)) <= 1 + length(a) / 3)"""
+_TITLES = f"""{q.odd_signs(f"SELECT {q.normal('title')} t FROM babelio_book UNION SELECT {q.normal('titre')} FROM livre")},
+a AS MATERIALIZED (SELECT DISTINCT {q.normal('title')} a FROM babelio_book WHERE title IS NOT NULL), xa AS MATERIALIZED (SELECT a, {q.one_byte('a')} x FROM a),
+b AS MATERIALIZED (SELECT DISTINCT {q.normal('titre')} b FROM livre WHERE titre IS NOT NULL), xb AS MATERIALIZED (SELECT b, {q.one_byte('b')} y FROM b),
+p AS (SELECT a, b, x, y, levenshtein(x, y) d, least(length(a), length(b)) m FROM xa, xb WHERE abs(length(a) - length(b)) <= 1 + length(a) / 3)"""
 
 
 def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a = read(spark, d, "babelio_book").where("title is not null").select(F.regexp_replace(text.normalize(F.col("title")), ASCII, "").alias("a")).distinct()
-    b = read(spark, d, "livre").where("titre is not null").select(F.regexp_replace(text.normalize(F.col("titre")), ASCII, "").alias("b")).distinct()
+    a = read(spark, d, "babelio_book").where("title is not null").select(text.normalize(F.col("title")).alias("a")).distinct()
+    b = read(spark, d, "livre").where("titre is not null").select(text.normalize(F.col("titre")).alias("b")).distinct()
     return a, b
 
 
@@ -100,8 +100,8 @@ def distance_histogram(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy(F.levenshtein("a", "b").alias("d")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_TITLES}, s AS (SELECT t threshold, min(a || '#' || b) x FROM (SELECT *, unnest(range(2, 10)) t FROM p WHERE d < greatest(1, m / 4)) WHERE d * t = m AND d > 0 GROUP BY 1)
-SELECT CAST(threshold AS INT) threshold, split_part(x, '#', 1) a, split_part(x, '#', 2) b FROM s""")
+@query(f"""WITH {_TITLES}, s AS (SELECT t threshold, min(a || chr(1) || b) x FROM (SELECT *, unnest(range(2, 10)) t FROM p WHERE d < greatest(1, m / 4)) WHERE d * t = m AND d > 0 GROUP BY 1)
+SELECT CAST(threshold AS INT) threshold, split_part(x, chr(1), 1) a, split_part(x, chr(1), 2) b FROM s""")
 def threshold_examples(spark: SparkSession, d: str) -> DataFrame:
     return match.threshold_examples(match.similar_texts(*_titles(spark, d)))
 
@@ -122,17 +122,18 @@ def missing_authors(spark: SparkSession, d: str) -> DataFrame:
     return match.missing_authors(_books(spark, d))
 
 
-_AUTH = rf"""ours AS (SELECT author_key, name n, list_transform(coalesce(bibliography, []), lambda x: {q.ascii_only(q.normal('x'))}) ours FROM babelio_author),
-each AS (SELECT {q.ascii_only(q.normal('titre'))} t, unnest(auteurs) a FROM livre WHERE titre IS NOT NULL),
+_AUTH = rf"""ours AS (SELECT author_key, name n, list_transform(coalesce(bibliography, []), lambda x: {q.normal('x')}) ours FROM babelio_author),
+each AS (SELECT {q.normal('titre')} t, unnest(auteurs) a FROM livre WHERE titre IS NOT NULL),
+{q.odd_signs('SELECT unnest(ours) t FROM ours UNION SELECT t FROM each')},
 theirs AS (SELECT {q.author(q.swapped('a'))} a, list_distinct(list(t)) theirs FROM each GROUP BY 1)"""
 
 
 @query(f"""WITH {_AUTH}, j AS (SELECT author_key, ours, coalesce(theirs, []) theirs FROM ours LEFT JOIN theirs ON {q.author(q.swapped('n'))} = a),
-m AS (SELECT DISTINCT author_key FROM (SELECT author_key, x, unnest(theirs) y FROM (SELECT author_key, unnest(ours) x, theirs FROM j)) WHERE levenshtein(x, y) < greatest(1, least(length(x), length(y)) / 4))
+m AS (SELECT DISTINCT author_key FROM (SELECT author_key, x, unnest(theirs) y FROM (SELECT author_key, unnest(ours) x, theirs FROM j)) WHERE levenshtein({q.one_byte('x')}, {q.one_byte('y')}) < greatest(1, least(length(x), length(y)) / 4))
 SELECT author_key, CASE WHEN author_key IN (SELECT author_key FROM m) THEN 'confirmed' WHEN len(ours) > 0 AND len(theirs) > 0 THEN 'infirmed' ELSE 'unsure' END outcome FROM j""")
 def author_confirmation(spark: SparkSession, d: str) -> DataFrame:
     """Author pages against the notices under the same name: confirmed, infirmed or unsure by their titles."""
-    norm = lambda c: F.regexp_replace(text.normalize(c), ASCII, "")
+    norm = text.normalize
     none = F.array().cast("array<string>")
     ours = read(spark, d, "babelio_author").select("author_key", text.normalize_author(text.swap_name(F.col("name"))).alias("a"), F.transform(F.coalesce("bibliography", none), norm).alias("ours"))
     theirs = read(spark, d, "livre").where("titre is not null").select(norm(F.col("titre")).alias("t"), F.explode("auteurs").alias("raw")).groupBy(text.normalize_author(text.swap_name(F.col("raw"))).alias("a")).agg(F.collect_set("t").alias("theirs"))
@@ -448,7 +449,7 @@ def ngram_windows(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "eval_item").select("item_id", F.explode(mlprep.ngram_windows(F.col("text"))).alias("w")).select("item_id", "w.*")
 
 
-_SIM = "(1 - levenshtein(upper(a), upper(b)) / greatest(length(a), length(b)) > 0.66 OR starts_with(upper(a), upper(b)) OR starts_with(upper(b), upper(a)))"
+_SIM = "(1 - d / greatest(length(a), length(b)) > 0.66 OR starts_with(upper(a), upper(b)) OR starts_with(upper(b), upper(a)))"
 _METRICS = "round(CASE WHEN {1} > 0 THEN {0} / {1} END, 6) AS \"{2}\""
 
 

@@ -48,8 +48,18 @@ def isbn_key(c: str) -> str:
     return f"left({b}, greatest(length({b}) - 1, 0)) || 'X'"
 
 
-def ascii_only(c: str) -> str:
-    return f"regexp_replace({c}, '[^ -~]', '', 'g')"
+#: Signs that stand in no normalised text, one byte each.
+_SPARE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!\"#$%&()*+,./:;<=>?@[]^`{|}~" + "".join(map(chr, range(1, 32)))
+
+
+def odd_signs(tables: str) -> str:
+    """A table `odd` with one text of all characters beyond ASCII of the texts t that a query gives."""
+    return rf"odd AS MATERIALIZED (SELECT coalesce(string_agg(c, '' ORDER BY c), '') cs FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '[^\x00-\x7F]')) c FROM ({tables})))"
+
+
+def one_byte(c: str) -> str:
+    """A text with each character beyond ASCII exchanged one to one for a spare sign: levenshtein() counts bytes."""
+    return f"translate({c}, (SELECT cs FROM odd), {quote(_SPARE)})"
 
 
 def swapped(c: str) -> str:
