@@ -25,10 +25,6 @@ MOJIBAKE_ALIGNMENT = (
 ACCENTS_FROM = "ãÃâÂàÀäÄéÉèÈêÊïÏîÎôÔöÖùÙüÜûÛÿŸç'"
 ACCENTS_TO = "aAaAaAaAeEeEeEiIiIoOoOuUuUuUyyc "
 
-#: How deep brackets may be nested where they are removed level by level.
-DEPTH = 8
-
-
 def fix_mojibake(c: Column, variant: str = "core") -> Column:
     """Undo UTF-8 read as Latin-1 by the ordered replacements of a variant; null stays null."""
     for bad, good in MOJIBAKE_CORE if variant == "core" else MOJIBAKE_ALIGNMENT:
@@ -41,22 +37,26 @@ def strip_accents_fr(c: Column) -> Column:
     return F.replace(F.replace(F.translate(c, ACCENTS_FROM, ACCENTS_TO), F.lit("œ"), F.lit("oe")), F.lit('"'), F.lit(""))
 
 
-def strip_parens(c: Column, depth: int = DEPTH) -> Column:
-    """Without what stands in balanced brackets, nested up to depth; unbalanced brackets stay."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"\([^()]*\)", "")
-    return c
+_GROUP = r"\([^()]*\)"
+
+
+def _levels(c: Column) -> Column:
+    """As many elements as brackets are opened: no text is nested deeper."""
+    return F.array_repeat(F.lit(0), F.regexp_count(c, F.lit(r"\(")))
 
 
-def text_in_parens(c: Column, first_only: bool = False, depth: int = DEPTH) -> Column:
+def strip_parens(c: Column) -> Column:
+    """Without what stands in balanced brackets, however deep they are nested; unbalanced brackets stay."""
+    return F.get(F.transform(F.array(c), lambda x: F.aggregate(_levels(x), x, lambda t, _: F.regexp_replace(t, _GROUP, ""))), 0)
+
+
+def text_in_parens(c: Column, first_only: bool = False) -> Column:
     """The bracketed groups of a text, innermost first; with first_only one group of each pass, as counted once."""
     if not first_only:
-        return F.regexp_extract_all(c, F.lit(r"\([^()]*\)"), F.lit(0))
-    found = []
-    for _ in range(depth):
-        found.append(F.regexp_extract(c, r"\([^()]*\)", 0))
-        c = F.regexp_replace(c, r"\([^()]*\)", "")
-    return F.filter(F.array(*found), lambda x: x != "")
+        return F.regexp_extract_all(c, F.lit(_GROUP), F.lit(0))
+    start = lambda x: F.struct(x.alias("t"), F.array().cast("array<string>").alias("found"))
+    step = lambda s, _: F.struct(F.regexp_replace(s.t, _GROUP, "").alias("t"), F.concat(s.found, F.array(F.regexp_extract(s.t, _GROUP, 0))).alias("found"))
+    return F.get(F.transform(F.array(c), lambda x: F.filter(F.aggregate(_levels(x), start(x), step).found, lambda g: g != "")), 0)
 
 
 def _blanks(c: Column) -> Column:
@@ -129,6 +129,52 @@ def swap_name(c: Column, sep: str = ",") -> Column:
     return F.when(F.size(parts) > 1, F.concat_ws(" ", F.get(parts, 1), F.get(parts, 0))).otherwise(F.trim(c))
 
 
+def with_types(schema, f):  # noqa: ANN001, ANN201
+    """A function from column to column that applies f to every text within a value of some type."""
+    from pyspark.sql import types as T
+
+    if isinstance(schema, T.StringType):
+        return f
+    if isinstance(schema, T.ArrayType):
+        inner = with_types(schema.elementType, f)
+        return (lambda c: F.transform(c, inner)) if inner else None
+    if isinstance(schema, T.StructType):
+        inner = {x.name: with_types(x.dataType, f) for x in schema.fields}
+        if any(inner.values()):
+            return lambda c: F.when(c.isNotNull(), F.struct(*[(inner[n](c[n]) if inner[n] else c[n]).alias(n) for n in schema.fieldNames()]))
+    return None
+
+
+def clean_items(rows, columns: list[str] | None = None):  # noqa: ANN001, ANN201
+    """Rows in which every text, however deep, is without tabs and line ends."""
+    made = {x.name: with_types(x.dataType, clean_blanks) for x in rows.schema.fields if columns is None or x.name in columns}
+    return rows.withColumns({n: f(F.col(n)) for n, f in made.items() if f})
+
+
+def renamed(rows, names: dict[str, str]):  # noqa: ANN001, ANN201
+    """Rows with fields renamed by a dictionary, also within lists and records."""
+    from pyspark.sql import types as T
+
+    def of(t: T.DataType) -> T.DataType:
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(of(t.elementType), t.containsNull)
+        if isinstance(t, T.StructType):
+            return T.StructType([T.StructField(names.get(f.name, f.name), of(f.dataType), f.nullable) for f in t.fields])
+        return t
+
+    return rows.select(*[F.col(f"`{f.name}`").cast(of(f.dataType)).alias(names.get(f.name, f.name)) for f in rows.schema.fields])
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key, the second one's value stands."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+
+
+def label_replace(c: Column, pattern: str, to: str) -> Column:
+    """All matches of a pattern replaced, as a query endpoint's REPLACE does."""
+    return F.regexp_replace(c, pattern, to)
+
+
 def family_name(c: Column) -> Column:
     return F.trim(F.get(F.split(c, ","), 0))
 

@@ -97,6 +97,34 @@ def closure(edges: DataFrame, parent: str, child: str, depth: int = 32) -> DataF
     raise ValueError(f"paths of more than {depth} steps")
 
 
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(key, group): every key of either column and the smallest key linked to it, directly or through others.
+
+    Each round takes the least label of the neighbours and then that label's own label, so paths are halved.
+    Rounds are checkpointed and end when no label falls.
+    """
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    both = cut(both.union(both.select("v", "u")).distinct())
+    label = cut(both.groupBy(F.col("u").alias("v")).agg(F.least(F.first("u"), F.min("v")).alias("g")))
+    while True:
+        near = both.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("g").alias("h"))
+        lower = cut(label.join(near, "v").select("v", "g", F.least("g", "h").alias("h")))
+        jump = lower.join(lower.select(F.col("v").alias("h"), F.col("h").alias("j")), "h", "left").select("v", F.least("h", F.coalesce("j", "h")).alias("g"), F.col("g").alias("old"))
+        done = cut(jump)
+        label = done.select("v", "g")
+        if done.where("g <> old").isEmpty():
+            return label.select(F.col("v").alias("key"), F.col("g").alias("group"))
+
+
+def labelled(names: DataFrame, labels: DataFrame, members: DataFrame) -> DataFrame:
+    """(name, hits, s): subjects found under a name by any of their labels, among members only; s where the hit is the only one.
+
+    names has name, labels has s and label (labels and other labels in one column), members has s.
+    """
+    found = names.distinct().join(labels.select("s", F.col("label").alias("name")).distinct(), "name", "left").join(members.select("s", F.lit(True).alias("m")).distinct(), "s", "left")
+    return found.groupBy("name").agg(F.count_if("m").alias("hits"), F.when(F.count_if("m") == 1, F.max(F.when(F.col("m"), F.col("s")))).alias("s"))
+
+
 def taxonomy_paths(nodes: DataFrame, code: str, parent: str, depth: int = 32) -> DataFrame:
     """(code, path, level): each code under its top-level ancestors, whatever the order of rows; the root is ROOT."""
     n = cut(nodes.select(F.col(code).alias("code"), F.col(parent).alias("parent")).distinct())

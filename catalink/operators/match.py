@@ -20,7 +20,7 @@ def book(rows: DataFrame, id_: Column, source: Column, title: Column, authors: C
     none = F.array().cast("array<string>")
     raw_isbns = F.coalesce(isbns, none)
     if split_multi:
-        raw_isbns = F.flatten(F.transform(raw_isbns, text.split_isbns))
+        raw_isbns = F.flatten(F.transform(F.filter(raw_isbns, lambda x: x.isNotNull()), text.split_isbns))
     return rows.select(
         id_.cast("string").alias("id"),
         source.alias("data_base"),
@@ -234,6 +234,59 @@ def confirmation(ours: Column, theirs: Column, raw: Column | None = None) -> Col
     return F.when(F.coalesce(near, F.lit(False)), "confirmed").when((F.size(theirs) > 0) & (F.size(ours) > 0), "infirmed").otherwise("unsure")
 
 
+def confirmed(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(author_key, outcome): confirmation() over rows of titles, for authors of any number of books.
+
+    ours has author_key, a (the name) and ours (an array of titles), theirs has a and t, one row per title. Near
+    titles are found once over all distinct titles and brought back by name; no author's titles are paired with all others.
+    """
+    each = cut(ours.select("author_key", "a", F.explode("ours").alias("x")).distinct())
+    near = similar_texts(each.select("x").distinct(), theirs.select("t").distinct()).toDF("x", "t")
+    good = each.join(near, "x").join(theirs, ["a", "t"]).select("author_key").distinct().withColumn("good", F.lit(True))
+    named = theirs.select("a").distinct().withColumn("known", F.lit(True))
+    rows = ours.join(named, "a", "left").join(good, "author_key", "left")
+    return rows.select("author_key", F.when(F.col("good"), "confirmed").when(F.col("known") & (F.size("ours") > 0), "infirmed").otherwise("unsure").alias("outcome"))
+
+
+def ile_books(works: DataFrame, authors: DataFrame) -> DataFrame:
+    """Book records of works and authors that are kept apart: works name an author by author_uri, one row per author."""
+    named = works.join(authors.select(F.col("uri").alias("author_uri"), "nom"), "author_uri", "left")
+    whole = named.groupBy("id").agg(F.max("title").alias("title"), F.max("isbn").alias("isbn"), F.array_sort(F.collect_set("nom")).alias("noms"))
+    return book(whole, F.col("id"), F.lit("ile"), F.col("title"), F.transform("noms", lambda n: text.swap_name(n)), F.array("isbn"), split_multi=True)
+
+
+def deposit_books(lines: DataFrame) -> DataFrame:
+    """Book records of the legal-deposit file: the title before its marks, authors and ISBNs of packed fields."""
+    authors = F.transform(text.split_list(F.col("liste_auteur"), ";"), lambda n: text.swap_name(n))
+    return book(lines, F.col("no_ligne"), F.lit("depot"), text.main_title(F.col("titre_publication")), authors, F.array("liste_isbn_nettoye"), split_multi=True)
+
+
+def export_books(lines: DataFrame) -> DataFrame:
+    """Book records of a publisher's export: names of contributors with a known role, the ISBNs of all forms."""
+    names = F.filter(F.transform(text.split_list(F.col("contributeurs"), ","), text.contributor_name), lambda x: x != "")
+    isbns = F.filter(F.array("isbn_papier", "isbn_pdf", "isbn_epub"), lambda x: F.coalesce(x, F.lit("")) != "")
+    return book(lines, F.col("no_ligne"), F.lit("hurtubise"), F.col("titre"), names, isbns)
+
+
+def page_books(pages: DataFrame) -> DataFrame:
+    """Book records of crawled pages."""
+    return book(pages, F.col("rec_id"), F.lit("babelio"), F.col("title"), F.transform("author", lambda x: text.swap_name(x)), F.when(F.col("ean").isNotNull(), F.array("ean")))
+
+
+def graph_books(triples: DataFrame, source: str, title: str, author: str, isbn: str) -> DataFrame:
+    """Book records out of triples, by the properties that hold title, authors and ISBNs."""
+    from catalink.operators.graph import wide
+
+    w = wide(triples, {"titles": title, "authors": author, "isbns": isbn})
+    return book(w, F.col("s"), F.lit(source), F.get("titles", 0), F.col("authors"), F.col("isbns"))
+
+
+def couples_by_name(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
+    """(n): how many pairs of rows share a name; counts are multiplied, pairs are not made."""
+    a, b = (x.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n" + s)) for x, s in ((left, "a"), (right, "b")))
+    return a.join(b, name).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("n"))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - d / length of the longer text, as the baseline matcher counts it."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
@@ -259,9 +312,9 @@ def first_per_case(pairs: DataFrame) -> DataFrame:
 
 
 def author_index(books: DataFrame, column: str = "authors") -> DataFrame:
-    """(author, n_books, ids): the books of each author, ids in order."""
-    each = books.select(F.explode(F.array_distinct(column)).alias("author"), F.concat_ws("|", "data_base", "id").alias("uid"))
-    return each.groupBy("author").agg(F.count("*").alias("n_books"), F.array_join(F.array_sort(F.collect_list("uid")), ",").alias("ids"))
+    """(author, uid, n_books): one row per book of an author, with how many there are; no author's books meet in one row."""
+    each = cut(books.select(F.explode(F.array_distinct(column)).alias("author"), F.concat_ws("|", "data_base", "id").alias("uid")))
+    return each.join(each.groupBy("author").agg(F.count("*").alias("n_books")), "author").select("author", "uid", "n_books")
 
 
 def missing_authors(books: DataFrame) -> DataFrame:

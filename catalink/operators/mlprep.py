@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalink.runtime import cut
+
 # Signs that the tokeniser leaves out.
 FILTERED = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "index", first: int = 1) -> DataFrame:
+    """Rows with their number in an order that tells all rows apart: sorted by ranges, numbered from the sizes of the ranges before."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    # One row per task.
+    sizes = sorted((r["__part"], r["n"]) for r in kept.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    starts, done = [], first
+    for part, n in sizes:
+        starts.append((part, done))
+        done += n
+    start = rows.sparkSession.createDataFrame(starts or [(0, first)], "__part int, __start long")
+    return kept.join(F.broadcast(start), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
 def order_key(*columns: str, seed: int = 7) -> Column:
     """A reproducible random order: a hash of the row's own values and a seed."""
     return F.xxhash64(*columns, F.lit(seed))
@@ -41,14 +57,13 @@ def characters(c: Column) -> Column:
 def vocabulary(rows: DataFrame, tokens: Column) -> DataFrame:
     """(token, n, index): tokens by falling frequency, index from 1; equal frequencies stand in order of the token."""
     counted = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    # One row per token of the alphabet or vocabulary: the window holds no texts.
-    return counted.withColumn("index", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+    return numbered(counted, [F.desc("n"), F.col("token")]).withColumn("index", F.col("index").cast("int"))
 
 
 def distinct_characters(rows: DataFrame, column: str) -> DataFrame:
     """(token, index): the distinct characters in order, index from 0."""
     each = rows.select(F.explode(F.filter(F.split(column, ""), lambda x: x != "")).alias("token")).distinct()
-    return each.withColumn("index", F.row_number().over(Window.orderBy("token")) - 1)
+    return numbered(each, [F.col("token")], first=0)
 
 
 def sequences(rows: DataFrame, key: str, tokens: Column, vocab: DataFrame, length: int = 150) -> DataFrame:
@@ -119,6 +134,62 @@ def title_classifier(train: DataFrame, features: tuple[str, ...] = ("f_distance"
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), LogisticRegression(maxIter=50, regParam=1e-3)]).fit(train)
 
 
+def words(c: Column) -> Column:
+    """Lower-case words of a text without filtered signs."""
+    return F.filter(F.split(F.lower(F.translate(c, FILTERED, " " * len(FILTERED))), " "), lambda x: x != "")
+
+
+def predicted(p: Column, threshold: float, distance: Column | None = None) -> Column:
+    """Whether a probability is over a threshold; with a distance, only where the texts are equal."""
+    return (p > threshold) & (distance < 1) if distance is not None else p > threshold
+
+
+def exact_split(pairs: DataFrame, train: int, test: int, keys: list[str], seed: int = 7) -> DataFrame:
+    """Pairs with split: of each label exactly `train` to fit on, then `test` others, the rest unused; fewer if there are fewer.
+
+    The places are those of a hash-random order within each label.
+    """
+    parts = []
+    for label in (1, 0):
+        placed = numbered(pairs.where(F.col("label") == label).withColumn("__h", order_key(*keys, seed=seed)), [F.col("__h"), *map(F.col, keys)], "__n").drop("__h")
+        parts.append(placed.withColumn("split", F.when(F.col("__n") <= train, "train").when(F.col("__n") <= train + test, "test").otherwise("rest")).drop("__n"))
+    return parts[0].union(parts[1])
+
+
+def with_replacement(rows: DataFrame, share: float, keys: list[str], seed: int = 7) -> DataFrame:
+    """A sample with replacement: each row Poisson(share) times, drawn from a hash of its keys, so it can be drawn again."""
+    import math
+
+    u = F.call_function("shiftrightunsigned", order_key(*keys, seed=seed), F.lit(11)).cast("double") / float(1 << 53)
+    times, total, k = F.lit(0), 0.0, 0
+    while total < 1 - 1e-12 and k < 200:
+        total += math.exp(-share) * share**k / math.factorial(k)
+        times = times + (u >= total).cast("int")
+        k += 1
+    return rows.withColumn("__k", F.explode(F.array_repeat(F.lit(0), times))).drop("__k")
+
+
+def principal(vectors: DataFrame, vector: str, k: int):  # noqa: ANN201
+    """A fitted projection of vectors on their k principal components (columns features and pca)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    ready = vectors.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    return PCA(k=k, inputCol="features", outputCol="pca").fit(ready).transform(ready)
+
+
+def one_hot(windows: DataFrame, key: list[str], window: str, vocab: DataFrame) -> DataFrame:
+    """(key, i, index): the place of the one in each row of a window's tensor; characters outside the vocabulary have none."""
+    each = windows.select(*key, F.posexplode(F.split(window, "")).alias("i", "token")).where("token <> ''")
+    return each.join(vocab.select("token", "index"), "token").select(*key, "i", "index")
+
+
+def drawn(probabilities: Column, u: Column) -> Column:
+    """The place (from 0) that a uniform number u in [0, 1) falls on in a distribution."""
+    upto = F.transform(probabilities, lambda _, i: F.aggregate(F.slice(probabilities, 1, i + 1), F.lit(0.0), lambda a, x: a + x))
+    return F.least(F.size(F.filter(upto, lambda x: x <= u)), F.size(probabilities) - 1)
+
+
 def tempered(probabilities: Column, temperature: float) -> Column:
     """A distribution sharpened or flattened by a temperature."""
     powered = F.transform(probabilities, lambda p: F.exp(F.log(p) / F.lit(temperature)))

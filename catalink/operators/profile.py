@@ -119,3 +119,9 @@ def graph_counts(triples: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
     members = triples.where(F.col("o") == cls).select("s").distinct()
     own = triples.join(members, "s", "left_semi").where(F.col("o") != cls)
     return own.groupBy("p").agg(F.count("*").alias("n")), own.groupBy("p", "o").agg(F.count("*").alias("n"))
+
+
+def more_than(rows: DataFrame, column: str, sizes: tuple[int, ...], key: str) -> DataFrame:
+    """(field, over, n, first): how many rows have lists of more than so many elements, and the smallest key among them."""
+    each = rows.select(key, F.coalesce(F.when(F.col(column).isNotNull(), F.size(column)), F.lit(0)).alias("k"), F.explode(F.array(*[F.lit(x) for x in sizes])).alias("over")).where("k > over")
+    return each.groupBy(F.lit(column).alias("field"), "over").agg(F.count("*").alias("n"), F.min(key).alias("first"))

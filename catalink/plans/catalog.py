@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +9,11 @@ from catalink.functions import text
 from catalink.operators import align, graph, match, mlprep, profile
 from catalink.plans import split_queries
 from catalink.plans import sqltext as q
+from catalink.plans.registry import QUERIES, SQL, query
 from catalink.runtime import cut, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {**split_queries.QUERIES}
-SQL: dict[str, str] = {**split_queries.SQL}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES |= split_queries.QUERIES
+SQL |= split_queries.SQL
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +94,7 @@ def threshold_examples(spark: SparkSession, d: str) -> DataFrame:
     return match.threshold_examples(match.similar_texts(*_titles(spark, d)))
 
 
-@query(f"WITH {q.BOOKS} SELECT author, count(*) n_books, array_to_string(list_sort(list(uid)), ',') ids FROM (SELECT uid, unnest(list_distinct(authors)) author FROM books) GROUP BY 1")
+@query(f"WITH {q.BOOKS} SELECT author, uid, count(*) OVER (PARTITION BY author) n_books FROM (SELECT uid, unnest(list_distinct(authors)) author FROM books)")
 def author_index(spark: SparkSession, d: str) -> DataFrame:
     return match.author_index(_books(spark, d))
 
@@ -133,11 +121,10 @@ m AS (SELECT DISTINCT author_key FROM (SELECT author_key, x, unnest(theirs) y FR
 SELECT author_key, CASE WHEN author_key IN (SELECT author_key FROM m) THEN 'confirmed' WHEN len(ours) > 0 AND len(theirs) > 0 THEN 'infirmed' ELSE 'unsure' END outcome FROM j""")
 def author_confirmation(spark: SparkSession, d: str) -> DataFrame:
     """Author pages against the notices under the same name: confirmed, infirmed or unsure by their titles."""
-    norm = text.normalize
-    none = F.array().cast("array<string>")
-    ours = read(spark, d, "babelio_author").select("author_key", text.normalize_author(text.swap_name(F.col("name"))).alias("a"), F.transform(F.coalesce("bibliography", none), norm).alias("ours"))
-    theirs = read(spark, d, "livre").where("titre is not null").select(norm(F.col("titre")).alias("t"), F.explode("auteurs").alias("raw")).groupBy(text.normalize_author(text.swap_name(F.col("raw"))).alias("a")).agg(F.collect_set("t").alias("theirs"))
-    return ours.join(theirs, "a", "left").select("author_key", match.confirmation(F.col("ours"), F.coalesce("theirs", none)).alias("outcome"))
+    name = lambda c: text.normalize_author(text.swap_name(F.col(c))).alias("a")
+    ours = cut(read(spark, d, "babelio_author").select("author_key", name("name"), F.coalesce(F.transform("bibliography", text.normalize), F.array().cast("array<string>")).alias("ours")))
+    theirs = cut(read(spark, d, "livre").where("titre is not null").select(text.normalize(F.col("titre")).alias("t"), F.explode("auteurs").alias("raw")).select(name("raw"), "t").distinct())
+    return match.confirmed(ours, theirs)
 
 
 # --- text -----------------------------------------------------------------------------------------------------
@@ -170,9 +157,9 @@ def paren_texts(spark: SparkSession, d: str) -> DataFrame:
     return profile.paren_texts(read(spark, d, "livre"), "titre")
 
 
-@query(r"""SELECT rec_id, nullif(regexp_extract(infos, '\((\d{0,2}/?\d{0,2}/?\d{4})\)', 1), '') edition_date, nullif(regexp_extract(infos, 'EAN[ :]+([\d-]+)', 1), '') ean FROM babelio_book""")
+@query(r"""SELECT rec_id, nullif(regexp_extract(infos, '\((\d{0,2}/?\d{0,2}/?\d{4})\)', 1), '') edition_date, nullif(regexp_extract(infos, 'EAN[ :]+([\d-]+)', 1), '') ean, nullif(regexp_extract(infos, '[ ]*([\d]+) pages', 1), '') nb_pages FROM babelio_book""")
 def book_info_fields(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "babelio_book").select("rec_id", text.info_field(F.col("infos"), "edition_date").alias("edition_date"), text.info_field(F.col("infos"), "ean").alias("ean"))
+    return read(spark, d, "babelio_book").select("rec_id", *[text.info_field(F.col("infos"), n).alias(n) for n in ("edition_date", "ean", "nb_pages")])
 
 
 _PERSON_FIELDS = ("nationnality", "place_of_birth", "country_of_birth", "date_of_birth", "place_of_death", "country_of_death", "date_of_death")
@@ -218,11 +205,9 @@ def uri_tails(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT nom_editeur, row_number() OVER (ORDER BY nom_editeur) id FROM (SELECT DISTINCT nom_editeur FROM depotlegal20171231 WHERE nom_editeur IS NOT NULL)")
 def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Publishers with ids in order of their names; the window holds one row per publisher."""
-    from pyspark.sql import Window
-
+    """Publishers with ids in order of their names."""
     names = read(spark, d, "depotlegal20171231").select("nom_editeur").where("nom_editeur is not null").distinct()
-    return names.withColumn("id", F.row_number().over(Window.orderBy("nom_editeur")))
+    return mlprep.numbered(names, [F.col("nom_editeur")], "id")
 
 
 # --- alignment ------------------------------------------------------------------------------------------------
@@ -338,19 +323,19 @@ def last_crawl(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "babelio_book").where("crawled_at is not null").groupBy("url").agg(F.max_by("rec_id", F.struct("crawled_at", "rec_id")).alias("rec_id"))
 
 
-_WRITERS = rf"""a AS (SELECT name, min(birth) FILTER (birth IS NOT NULL) birth, count(*) n FROM (SELECT {q.author(q.swapped('name'))} AS name, nullif(regexp_extract(coalesce(date_of_birth, ''), '(\d{{4}})$', 1), '') birth FROM babelio_author WHERE name IS NOT NULL) GROUP BY 1),
-b AS (SELECT name, min(birth) FILTER (birth IS NOT NULL) birth, count(*) n FROM (SELECT {q.author("trim(coalesce(prenom, '') || ' ' || coalesce(nom, ''))")} AS name, nullif(regexp_extract(coalesce(annee_naissance, ''), '^(\d{{4}})$', 1), '') birth FROM auteur) GROUP BY 1)"""
+_WRITERS = rf"""a AS (SELECT name, arg_min(birth, author_key) birth, count(*) n FROM (SELECT author_key, {q.author(q.swapped('name'))} AS name, coalesce(nullif(regexp_extract(coalesce(date_of_birth, ''), '(\d{{4}})$', 1), ''), 'X') birth FROM babelio_author WHERE name IS NOT NULL) GROUP BY 1),
+b AS (SELECT name, arg_min(birth, auteur_key) birth, count(*) n FROM (SELECT auteur_key, {q.author("trim(coalesce(prenom, '') || ' ' || coalesce(nom, ''))")} AS name, coalesce(nullif(regexp_extract(coalesce(annee_naissance, ''), '^(\d{{4}})$', 1), ''), 'X') birth FROM auteur) GROUP BY 1)"""
 
 
-@query(f"WITH {_WRITERS} SELECT coalesce(a.name, b.name) AS name, coalesce(a.birth, b.birth, 'X') birth, a.n pages, b.n notices FROM a FULL JOIN b ON a.name = b.name")
+@query(f"WITH {_WRITERS} SELECT coalesce(a.name, b.name) AS name, coalesce(nullif(a.birth, 'X'), b.birth, 'X') birth, a.n pages, b.n notices FROM a FULL JOIN b ON a.name = b.name")
 def writers_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Author pages and notices merged by name; the birth year of the first source that has one."""
-    year = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit(""))
-    a = read(spark, d, "babelio_author").where("name is not null").select(text.normalize_author(text.swap_name(F.col("name"))).alias("name"), year(F.col("date_of_birth"), r"(\d{4})$").alias("birth_a"))
-    b = read(spark, d, "auteur").select(text.normalize_author(F.trim(F.concat(F.coalesce("prenom", F.lit("")), F.lit(" "), F.coalesce("nom", F.lit(""))))).alias("name"), year(F.col("annee_naissance"), r"^(\d{4})$").alias("birth_b"))
-    a = a.groupBy("name").agg(F.min("birth_a").alias("birth_a"), F.count("*").alias("pages"))
-    b = b.groupBy("name").agg(F.min("birth_b").alias("birth_b"), F.count("*").alias("notices"))
-    return a.join(b, "name", "full").select("name", F.coalesce("birth_a", "birth_b", F.lit("X")).alias("birth"), "pages", "notices")
+    """Author pages and notices merged by name; of homonyms the first by key speaks, the notice where the page has no birth year."""
+    year = lambda c, p: F.coalesce(F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")), F.lit("X"))
+    a = read(spark, d, "babelio_author").where("name is not null").select("author_key", text.normalize_author(text.swap_name(F.col("name"))).alias("name"), year(F.col("date_of_birth"), r"(\d{4})$").alias("birth"))
+    b = read(spark, d, "auteur").select("auteur_key", text.normalize_author(F.trim(F.concat(F.coalesce("prenom", F.lit("")), F.lit(" "), F.coalesce("nom", F.lit(""))))).alias("name"), year(F.col("annee_naissance"), r"^(\d{4})$").alias("birth"))
+    a = a.groupBy("name").agg(F.min_by("birth", "author_key").alias("birth_a"), F.count("*").alias("pages"))
+    b = b.groupBy("name").agg(F.min_by("birth", "auteur_key").alias("birth_b"), F.count("*").alias("notices"))
+    return a.join(b, "name", "full").select("name", F.coalesce(F.nullif("birth_a", F.lit("X")), "birth_b", F.lit("X")).alias("birth"), "pages", "notices")
 
 
 # --- graphs ---------------------------------------------------------------------------------------------------
@@ -462,12 +447,17 @@ def baseline_metrics(spark: SparkSession, d: str) -> DataFrame:
     return mlprep.metrics(near, truth, match.baseline_same(F.col("a"), F.col("b")))
 
 
-@query()
+_CHT = f"list_filter(string_split(lower(translate(titre, {q.quote(mlprep.FILTERED)}, '')), ''), lambda x: x <> '')"
+
+
+@query(f"""WITH l AS (SELECT id_livre, {_CHT} l FROM livre WHERE titre IS NOT NULL), e AS (SELECT id_livre, unnest(l) token, generate_subscripts(l, 1) pos FROM l),
+v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) i FROM e GROUP BY 1), s AS (SELECT id_livre, list(i ORDER BY pos) x FROM e JOIN v USING (token) GROUP BY 1)
+SELECT id_livre, array_to_string(list_concat(list_transform(range(0, greatest(150 - coalesce(len(x), 0), 0)), lambda k: 0), coalesce(x[greatest(len(x) - 149, 1):], [])), ' ') features FROM l LEFT JOIN s USING (id_livre)""")
 def char_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Character indexes of titles, padded to 150 places."""
     notices = read(spark, d, "livre").where("titre is not null")
     vocab = mlprep.vocabulary(notices, mlprep.characters(F.col("titre")))
-    return mlprep.sequences(notices, "id_livre", mlprep.characters(F.col("titre")), vocab)
+    return mlprep.sequences(notices, "id_livre", mlprep.characters(F.col("titre")), vocab).select("id_livre", F.array_join("features", " ").alias("features"))
 
 
 @query()
@@ -478,3 +468,6 @@ def title_model(spark: SparkSession, d: str) -> DataFrame:
     train, test = mlprep.train_and_rest(couples, 500, ["a", "b"])
     done = mlprep.title_classifier(mlprep.pair_features(train, "a", "b")).transform(mlprep.pair_features(test, "a", "b"))
     return mlprep.metrics(done, F.col("label") == 1, F.col("prediction") == 1.0)
+
+
+from catalink.plans import interchange, records  # noqa: E402, F401 - they add their queries

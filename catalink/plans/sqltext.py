@@ -5,6 +5,10 @@ from __future__ import annotations
 from catalink.functions import text
 
 
+#: Brackets of the tables are nested less deep than this.
+DEPTH = 8
+
+
 def quote(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -20,7 +24,7 @@ def bare(c: str) -> str:
 
 
 def no_parens(c: str) -> str:
-    for _ in range(text.DEPTH):
+    for _ in range(DEPTH):
         c = f"regexp_replace({c}, '\\([^()]*\\)', '', 'g')"
     return c
 

@@ -188,6 +188,26 @@ def media(html: str) -> list[dict]:
     return out
 
 
+def hits(html: str) -> list[dict]:
+    """Titles and addresses in a list of search results or in the listing of a tag."""
+    links = [a for t in parse(html).find("td", "titre_livre") for a in t.find("a", "titre_v2", href="*")]
+    return [{"title": _first(a.texts()), "href": a.attrs["href"]} for a in links]
+
+
+def card(html: str) -> dict[str, str]:
+    """The labelled values of a card: each description under its term, several of one term joined by line ends."""
+    out: dict[str, str] = {}
+    for d in parse(html).find("dl"):
+        term = None
+        for n in d.walk():
+            if n.tag == "dt":
+                term = "".join(n.texts()).strip()
+            elif n.tag == "dd" and term is not None:
+                told = "".join(n.texts() + _texts(list(n.walk()))).strip()
+                out[term] = f"{out[term]}\n{told}" if term in out else told
+    return out
+
+
 def next_page(html: str) -> str | None:
     """Where the next page of a list is."""
     return _first([a.attrs["href"] for d in parse(html).find("div", "pagination") for a in d.find("a", "icon-next", href="*")])
@@ -200,9 +220,11 @@ TYPES = {
     "reviews": "array<struct<id:string,author:array<string>,date:string,rating:string,pop:string,content:string>>",
     "extracts": "array<struct<id:string,author:string,date:string,pop:string,content:string>>",
     "media": "array<struct<url:string,date:string,description:string>>",
+    "hits": "array<struct<title:string,href:string>>",
+    "card": "map<string,string>",
     "next_page": "string",
 }
-PARSERS: dict[str, Callable] = {f.__name__: f for f in (book_page, author_page, reviews, extracts, media, next_page)}
+PARSERS: dict[str, Callable] = {f.__name__: f for f in (book_page, author_page, reviews, extracts, media, hits, card, next_page)}
 
 
 def parsed(pages: DataFrame, key: str, html: str, parser: str) -> DataFrame:

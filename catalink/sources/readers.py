@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Columns of the delimited sources in the order in which they are written.
-LEGAL_DEPOSIT = "ID_DEPOT TITRE_PUBLICATION ANNEE_PUBLICATION STATUT_REQUETE DATE_ENREGISTREMENT CODE_EDITEUR NOM_EDITEUR CATEGORIE_EDITEUR TYPE_DOCUMENT TYPEPUBLICATION LANGUE_PUBLICATION LANGUE_ORIGINALE CATEGORIE_SUJET SUJET COEDITION PERIODICITE ETAT_PERIODICITE LISTE_ISBN_NETTOYE LISTE_AUTEUR EST_NUMERIQUE".split()
+LEGAL_DEPOSIT = [
+    "ID_DEPOT", "TITRE_PUBLICATION", "ANNEE_PUBLICATION", "STATUT_REQUETE", "DATE_ENREGISTREMENT", "CODE_EDITEUR", "NOM_EDITEUR",
+    "CATEGORIE_EDITEUR", "TYPE_DOCUMENT", "TYPEPUBLICATION", "LANGUE_PUBLICATION", "LANGUE_ORIGINALE", "CATEGORIE_SUJET",
+    "SUJET", "COEDITION", "PERIODICITE", "ETAT_PERIODICITE", "LISTE_ISBN_NETTOYE", "LISTE_AUTEUR", "EST_NUMERIQUE",
+]
 PUBLISHER_EXPORT = [
     "Editeur", "ISBN Papier", "ISBN PDF", "ISBN epub", "Titre", "Sous - titre", "Titre de la serie", "Contributeurs", "Contributeur(premier)", "Langue",
     "Langue Origine", "Resume", "Nombre de pages", "Date de parution", "Annee de parution", "Sujet  THEMA principal", "Sujet THEMA", "Quantificateur Georaphique",
@@ -48,11 +55,11 @@ def line_list(spark: SparkSession, path: str, sep: str = " ; ", last: bool = Fal
     return spark.read.text(path).where("value <> ''").select((F.element_at(parts, -1) if last else F.get(parts, 0)).alias("value"))
 
 
-def items(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A file with one JSON array of objects; a class mark within them is ignored."""
+def items(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Files with one JSON array of objects each; a class mark within them comes out as the column `class`."""
     reader = spark.read.option("multiLine", True)
     rows = (reader.schema(schema) if schema else reader).json(path)
-    return rows.drop("__class__")
+    return rows.withColumnRenamed("__class__", "class")
 
 
 def keyed_items(spark: SparkSession, path: str, values: str) -> DataFrame:
@@ -75,26 +82,46 @@ def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", F.col("revision.text._VALUE").alias("text"))
 
 
-def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o): triples of a file of rdf:Description elements, property names with their prefixes."""
-    rows = spark.read.format("xml").option("rowTag", "rdf:Description").load(path)
-    properties = [f for f in rows.schema.fields if not f.name.startswith("_")]
-
-    def values(f: T.StructField):  # noqa: ANN202
-        c = F.col(f"`{f.name}`")
-        many = isinstance(f.dataType, T.ArrayType)
-        kind = f.dataType.elementType if many else f.dataType
-
-        def one(x):  # noqa: ANN001, ANN202
-            if isinstance(kind, T.StructType):
-                return F.coalesce(*[x.getField(n).cast("string") for n in kind.fieldNames() if n in ("_VALUE", "_rdf:resource")] or [F.lit(None).cast("string")])
-            return x.cast("string")
+_RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 
-        return F.transform(c if many else F.array(c), lambda x: F.struct(F.lit(f.name).alias("p"), one(x).alias("o")))
 
-    none = F.array().cast("array<struct<p:string,o:string>>")
-    every = F.flatten(F.array(*[F.coalesce(values(f), none) for f in properties]))
-    return rows.select(F.col("`_rdf:about`").alias("s"), F.explode(every).alias("t")).select("s", "t.p", "t.o").where("o is not null").distinct()
+def rdf_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(s, p, o, o_kind, o_datatype, o_lang): triples of RDF/XML files, with whole names of properties.
+
+    Elements are read one subject at a time as the parser meets them, so a file of any length fits in a task; a
+    typed element gives its type as a triple. Relative and repeated subjects stay as written.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        from xml.etree.ElementTree import iterparse
+
+        columns = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
+        whole = lambda tag: tag[1:].replace("}", "", 1)
+        for batch in batches:
+            for content in batch["content"]:
+                out, depth = [], 0
+                for event, e in iterparse(io.BytesIO(content), ("start", "end")):
+                    depth += 1 if event == "start" else -1
+                    if event == "start" or depth != 1:
+                        continue
+                    blank = e.get(_RDF + "nodeID")
+                    s = "_:" + blank if blank else e.get(_RDF + "about") or ""
+                    if e.tag != _RDF + "Description":
+                        out.append((s, whole(_RDF + "type"), whole(e.tag), "uri", None, None))
+                    for x in e:
+                        to, node = x.get(_RDF + "resource"), x.get(_RDF + "nodeID")
+                        kind = "uri" if to is not None else "blank" if node else "literal"
+                        o = to if kind == "uri" else "_:" + node if node else x.text or ""
+                        out.append((s, whole(x.tag), o, kind, x.get(_RDF + "datatype"), x.get("{http://www.w3.org/XML/1998/namespace}lang")))
+                    e.clear()
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                yield pd.DataFrame(out, columns=columns)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, "s string, p string, o string, o_kind string, o_datatype string, o_lang string").distinct()
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -106,20 +133,34 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def bindings(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a query endpoint's JSON answer: one column per variable."""
-    rows = spark.read.option("multiLine", True).json(path).select(F.explode("results.bindings").alias("b"))
+    return bound(spark.read.option("multiLine", True).json(path))
+
+
+def bound(answers: DataFrame) -> DataFrame:
+    """The same of answers that are already read, with a known type."""
+    rows = answers.select(F.explode("results.bindings").alias("b"))
     names = rows.schema["b"].dataType.fieldNames()
     return rows.select(*[F.col(f"b.`{n}`.value").alias(n) for n in names])
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:  # noqa: ANN001
-    """What a Parquet folder holds, or what make() gives, written there first."""
-    from pyspark.errors import AnalysisException
+    """What a Parquet folder holds, or what make() gives, written there first.
 
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)
+    The rows are written beside it and moved into place in one step; of two jobs that write, the later one reads
+    what the first has put there.
+    """
+    import uuid
+
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        make().write.parquet(beside)
+        made = jvm.org.apache.hadoop.fs.Path(beside)
+        if fs.exists(at) or not fs.rename(made, at):
+            fs.delete(made, True)
+    return spark.read.parquet(path)
 
 
 #: Paths within product descriptions, by field.
@@ -136,6 +177,9 @@ ONIX = {
     "review": "Product/CollateralDetail/TextContent[TextType='06']/Text/text()",
     "promotion": "Product/CollateralDetail/TextContent[TextType='10']/Text/text()",
     "published": "Product/PublishingDetail/PublishingDate/Date/text()",
+    "identifiers": "Product/ProductIdentifier/IDValue/text()",
+    "bisac": "Product/DescriptiveDetail/Subject[SubjectSchemeIdentifier='10']/SubjectCode/text()",
+    "own_category": "Product/DescriptiveDetail/Subject[SubjectSchemeIdentifier='23']/SubjectCode/text()",
 }
 
 
@@ -143,3 +187,18 @@ def onix(rows: DataFrame, code: str = "code", xml: str = "xml") -> DataFrame:
     """The fields of product descriptions as lists of texts; descriptions without publishing or descriptive detail are left out."""
     whole = rows.where(F.expr(f"xpath_boolean({xml}, 'Product/PublishingDetail') and xpath_boolean({xml}, 'Product/DescriptiveDetail')"))
     return whole.select(code, *[F.expr(f'xpath({xml}, "{p}")').alias(n) for n, p in ONIX.items()])
+
+
+def fetched(rows: DataFrame, code: str = "code", status: str = "status", body: str = "xml") -> DataFrame:
+    """(code, answer): what a product store answered for each code; any other status than 200 gives an error line."""
+    return rows.select(code, F.when(F.col(status) == 200, F.col(body)).otherwise(F.concat(F.lit("ERREUR "), F.col(code))).alias("answer"))
+
+
+def xml_counts(rows: DataFrame, xml: str, paths: dict[str, str]) -> DataFrame:
+    """(field, value, n): how often each value stands at each path of XML texts."""
+
+    def at(n: str, p: str) -> Column:
+        return F.transform(F.expr(f'xpath({xml}, "{p}")'), lambda v: F.struct(F.lit(n).alias("field"), v.alias("value")))
+
+    each = F.flatten(F.array(*[at(n, p) for n, p in paths.items()]))
+    return rows.select(F.explode(each).alias("x")).select("x.*").groupBy("field", "value").agg(F.count("*").alias("n"))
