@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalink.llm.leak import leaks
-from catalink.llm.mix import count_tokens, mix
+from catalink.llm.mix import TOKENIZER, count_tokens, counter, mix
 
 
 def test_leaks_equal_brute_force(spark):
@@ -26,13 +27,21 @@ def test_leaks_equal_brute_force(spark):
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
 
 
-def test_substitutions_are_tolerated(spark):
-    words = [f"w{i}" for i in range(30)]
-    changed = [("zz" if i == 15 else w) for i, w in enumerate(words)]
-    d = spark.createDataFrame([(1, " ".join(changed[9:21]))], "doc_id bigint, text string")
-    i = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
-    shifted = [leaks(spark.createDataFrame([(1, " ".join(changed[a : a + 14]))], "doc_id bigint, text string"), i, tolerated=1).count() for a in (4, 6, 8)]
-    assert max(shifted) == 1 and leaks(d, i).where("exact").count() == 0
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_two_exchanged_words_are_found_as_by_brute_force(spark, broadcast_bytes):
+    rnd = random.Random(9)
+    items = [(i, [f"w{rnd.randint(0, 400)}" for _ in range(30)]) for i in range(6)]
+    docs = []
+    for k in range(150):
+        w = list(items[k % 6][1][(at := rnd.randint(0, 18)) : at + 12])
+        for i in rnd.sample(range(12), rnd.randint(0, 4)):
+            w[i] = "zz"
+        docs.append((k, ["a"] * rnd.randint(0, 3) + w + ["b"] * rnd.randint(0, 3)))
+    agree = lambda a, b: max((sum(x == y for x, y in zip(a[i : i + 12], b[j : j + 12], strict=True)) for i in range(len(a) - 11) for j in range(len(b) - 11)), default=0)
+    want = {(d, i, agree(t, u)) for d, t in docs for i, u in items if agree(t, u) >= 10}
+    make = lambda rows, c: spark.createDataFrame([(k, " ".join(t)) for k, t in rows], f"{c} bigint, text string")
+    got = {(r.doc_id, r.item_id, r.best) for r in leaks(make(docs, "doc_id"), make(items, "item_id"), tolerated=2, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == want and {b for _, _, b in want} == {10, 11, 12}
 
 
 def test_mix_meets_budgets(spark):
@@ -61,3 +70,8 @@ def test_mix_meets_budgets(spark):
     again = mix(docs.repartition(7), targets, bucket_rows=10)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
     assert mix(docs.limit(0), targets)[0].count() == 0 and mix(docs, targets.limit(0))[1].count() == 0
+
+
+def test_both_files_of_a_tokenizer_count_alike():
+    texts = [None, "", "L’été, c'est 12 <|endoftext|> !", "  deux   blancs \n\n", "a" * 5000, "été " * 3000]
+    assert counter(TOKENIZER)(texts) == counter(TOKENIZER.replace(".tiktoken", ".json"))(texts)
