@@ -30,6 +30,13 @@ def deletions(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, n)))))
 
 
+def sound(token: Column) -> Column:
+    """A token by how it sounds: spellings of o, f, k and i are one, doubled letters single."""
+    for pattern, to in (("e?au", "o"), ("ph", "f"), ("qu|ck|c|q", "k"), ("y", "i")):
+        token = F.regexp_replace(token, pattern, to)
+    return F.regexp_replace(token, r"(.)\1", "$1")
+
+
 def one_edit(a: Column, b: Column) -> Column:
     """Whether one letter is exchanged, added, missing or swapped with its neighbour."""
     swapped = (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
@@ -46,8 +53,9 @@ def _options(mentions: DataFrame) -> DataFrame:
 
     mentions has tokens, slug and perhaps `times`, the number of mentions with these. Clean tokens are those of
     the second spelling (`slug`) that some mentions carry. A token is taken for a slip of a clean or clearly more
-    frequent token one edit away (found by equal deletions), and for an alias of what a mention's second
-    spelling has in its place. All options are kept, the likeliest first, equal ones in falling string order. A
+    frequent token one edit away (found by equal deletions) or of equal sound, and for an alias of what a mention's
+    second spelling has in its place, or of what other mentions of one rarer token and one year have in its place
+    (with two such tokens at least, and mostly with this one). All options are kept, the likeliest first, equal ones in falling string order. A
     token that several mentions have beyond their whole second spelling, and that no second spelling has, is
     marked as added (a second family name, a legal form).
     """
@@ -57,12 +65,12 @@ def _options(mentions: DataFrame) -> DataFrame:
     said = lambda c, n, clean: F.transform(c, lambda t: F.struct(t.alias("token"), n.alias("n"), clean.alias("clean")))
     each = F.concat(said(F.col("tokens"), F.col("times"), no), said(_joined("tokens"), no, no), said(F.col("slug"), no, F.col("times")))
     vocabulary = cut(mentions.select(F.explode(each).alias("x")).groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.clean").alias("clean")))
-    keyed = vocabulary.where(F.length("token") >= 3).withColumn("cut", F.explode(deletions(F.col("token"))))
+    keyed = vocabulary.where(F.length("token") >= 3).withColumn("cut", F.explode(F.concat(deletions(F.col("token")), F.array(F.concat(F.lit("~"), sound(F.col("token")))))))
     wrong = keyed.where((F.col("clean") == 0) & (F.length("token") >= 4)).select("cut", F.col("token").alias("slip"), F.col("n").alias("slip_n"))
     slips = (
         wrong.join(keyed, "cut")
         .where((F.col("slip") != F.col("token")) & ((F.col("clean") > 0) | (F.col("n") >= 2 * F.greatest("slip_n", F.lit(1)))))
-        .where(one_edit(F.col("slip"), F.col("token")))
+        .where(one_edit(F.col("slip"), F.col("token")) | F.col("cut").startswith("~"))
         .select("slip", "token", (F.col("n") + F.col("clean")).cast("double").alias("weight"))
     )
     # Aliases: tokens of a name and of its second spelling that have no equal and no near one on the other side.
@@ -75,8 +83,9 @@ def _options(mentions: DataFrame) -> DataFrame:
         .where((F.col("times") >= 2) | F.col("token").startswith(F.col("slip")))
         .select("slip", "token", (F.col("times") * 1e6).alias("weight"))
     )
+    told = _told_by_years(mentions, vocabulary)
     # The options of one token are bounded by its edits and aliases, not by the number of rows.
-    many = slips.union(alias).groupBy("slip").agg(F.array_distinct(F.transform(F.sort_array(F.collect_set(F.struct("weight", "token")), False), lambda x: x.token)).alias("options"))
+    many = slips.union(alias).union(told).groupBy("slip").agg(F.array_distinct(F.transform(F.sort_array(F.collect_set(F.struct("weight", "token")), False), lambda x: x.token)).alias("options"))
     beyond = mentions.where((F.size("slug") > 0) & (F.size(F.array_except("slug", "tokens")) == 0)).select("slug", F.explode(F.array_except("tokens", "slug")).alias("token")).where(F.length("token") > 1)
     beyond = beyond.distinct().groupBy("token").agg(F.count("*").alias("times")).where("times >= 3")
     none, nothing = F.array().cast("array<string>"), F.lit(False)
@@ -86,6 +95,25 @@ def _options(mentions: DataFrame) -> DataFrame:
     return every.select("token", "n", "clean", (F.col("added") & dirty).alias("added"), F.when(dirty, F.col("options")).otherwise(none).alias("options"))
 
 
+def _told_by_years(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(slip, token, weight): what stands in a token's place in other mentions with the same rarer token and the same year.
+
+    Only mentions of two full tokens and a year speak. A token that is no clean one stands for a clean one if at
+    least two rarer tokens say so and no more say otherwise.
+    """
+    if "year" not in mentions.columns:
+        return mentions.sparkSession.createDataFrame([], "slip string, token string, weight double")
+    full = F.filter("tokens", lambda t: F.length(t) > 1)
+    two = mentions.where("year is not null").select("year", "place", full.alias("t")).where("size(t) = 2")
+    each = two.select("year", "place", F.explode(F.array(F.struct(F.get("t", 0).alias("family"), F.get("t", 1).alias("given")), F.struct(F.get("t", 1).alias("family"), F.get("t", 0).alias("given")))).alias("x")).select("year", "place", "x.*").distinct()
+    known = vocabulary.select("token", (F.col("n") + F.col("clean")).alias("df"), (F.col("clean") > 0).alias("sure"))
+    each = each.join(known.select(F.col("token").alias("family"), F.col("df").alias("df_f")), "family").join(known.select(F.col("token").alias("given"), F.col("df").alias("df_g"), "sure"), "given").where("df_f < df_g")
+    a, b = each.where("not sure").select("family", "year", F.col("place").alias("pa"), F.col("given").alias("slip")), each.where("sure").select("family", "year", F.col("place").alias("pb"), F.col("given").alias("token"))
+    met = a.join(b, ["family", "year"]).where(F.coalesce(F.col("pa") == F.col("pb"), F.lit(True))).groupBy("slip", "token").agg(F.count_distinct("family").alias("times"))
+    whole = met.groupBy("slip").agg(F.sum("times").alias("all"))
+    return met.join(whole, "slip").where("times >= 2 and times * 2 >= all").select("slip", "token", (F.col("times") * 1e6).alias("weight"))
+
+
 NOTHING = (0, 0, False, [])
 
 
@@ -103,8 +131,8 @@ def _settle(tokens: list[str], known: dict[str, tuple[int, int, bool, list[str]]
             other = known.get(tokens[i + 1], NOTHING)
             both = known.get(t + tokens[i + 1], NOTHING)
             whole = both[1] or both[0] or any(known.get(o, NOTHING)[1] for o in both[3])
-            # Not where one half is a slip or alias of a clean token and the other is clean.
-            fine = (clean or options) and (other[1] or other[3])
+            # Not where one half is clean and the other is clean or a slip or alias of a clean token.
+            fine = clean and (other[1] or other[3]) or options and other[1]
             if whole and not more and not other[2] and not fine:
                 out.append([t + tokens[i + 1], *([] if both[1] else both[3])])
                 i += 2
@@ -185,7 +213,7 @@ def compare_names(a: list[list[str]], b: list[list[str]]) -> tuple[float, int, i
     """Optimal assignment of the tokens of two names.
 
     Returns the total fit, the number of pairs of full tokens, the number of initials that stand for a full
-    token and the number of full tokens left over on the side that has fewer of them.
+    token or an equal initial, and the number of full tokens left over on the side that has fewer of them.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -193,7 +221,7 @@ def compare_names(a: list[list[str]], b: list[list[str]]) -> tuple[float, int, i
     pairs = [(i, j) for i, j in enumerate(assignment(fit)) if fit[i][j]]
     total = sum(fit[i][j] for i, j in pairs)
     full = sum(fit[i][j] >= 2 for i, j in pairs)
-    initials = sum(fit[i][j] == 1 and max(len(a[i][0]), len(b[j][0])) > 1 for i, j in pairs)
+    initials = sum(fit[i][j] == 1 for i, j in pairs)
     in_a, in_b = {i for i, _ in pairs}, {j for _, j in pairs}
     left = [sum(len(x[0]) > 1 for i, x in enumerate(side) if i not in met) for side, met in ((a, in_a), (b, in_b))]
     return total, full, initials, min(left) * 100 + max(left)
@@ -203,7 +231,8 @@ def name_keys(names: DataFrame) -> DataFrame:
     """(whole, k, kind): blocking keys of settled names; whole tells names apart.
 
     kind "all" is every pair of full tokens of a name, "two" those of its two rarest places, "head" every full
-    token with the first letter of another one, "initial" every full token with every initial.
+    token with the first letter of another one, "initial" every full token with every initial, "alone" the same of names with one full token only, "stem" every full token
+    with the first three and four letters of a longer one, "short" every full token with another one of so many letters.
     """
     spread = names.select("whole", "name", F.explode(F.array_distinct(F.flatten(F.filter("name", lambda x: F.length(F.get(x, 0)) > 1)))).alias("t"))
     usual = spread.groupBy("t").agg(F.count("*").alias("df"))
@@ -228,12 +257,16 @@ def keys_of(name: list[list[str]], df: dict[str, int]) -> set[tuple[str, str]]:
     initials = {x[0] for x in name if len(x[0]) == 1}
     pair = lambda x, y: {"|".join(sorted((s, t))) for s in x for t in y}
     out = {(f"{t}|{h}", "initial") for _, _, x in places for t in x for h in initials}
+    if len(places) == 1:
+        out |= {(k, "alone") for k, _ in out}
     for _, i, x in places:
         for _, j, y in places:
             if i < j:
                 out |= {(k, "all") for k in pair(x, y)}
             if i != j:
                 out |= {(f"{t}|{u[0]}", "head") for t in x for u in y}
+                out |= {(f"{t}|{u[:n]}~", "stem") for t in x for u in y for n in (3, 4) if len(u) > n}
+                out |= {(f"{t}|{y[0]}~", "short") for t in x if 3 <= len(y[0]) <= 4}
     # A place is as usual as the most usual token that may stand in it.
     rare = sorted(places)[:2]
     if len(rare) == 2:
@@ -245,18 +278,22 @@ def meeting(keys: DataFrame) -> DataFrame:
     """(a, b): the names of name_keys that meet, a not after b; a name meets itself.
 
     Of two names that fit, one has no full token beyond the other. Either each of its tokens has a full one there,
-    then its two rarest are a pair of the other's; or an initial stands for a full token beside a full one that
-    both have. So one side's rarest pair is enough, and pairs of usual tokens ("imprimerie", "fils") never meet
+    then its two rarest are a pair of the other's; or an initial stands for a full token or an equal one, or a short
+    form for a longer one, beside a full one that both have. So one side's rarest pair is enough, and pairs of usual tokens ("imprimerie", "fils") never meet
     each other.
     """
     # Keys of pairs and of letters differ in what stands behind the bar.
     side = lambda kinds, name: keys.where(F.col("kind").isin(*kinds)).select("k", F.col("whole").alias(name))
-    found = side(("two", "initial"), "x").join(side(("all", "head"), "y"), "k")
+    found = side(("two", "initial", "short"), "x").join(side(("all", "head", "alone", "stem"), "y").distinct(), "k")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def fit_of(x: list[list[str]], y: list[list[str]]) -> float | None:
     """How well two settled names fit, None if they are not of one author."""
+    # Names that both have a full token like none of the other's do not fit, however the rest is assigned.
+    lone = lambda a, b: any(len(t[0]) > 1 and not any(_alike(t, u) for u in b) for t in a)
+    if lone(x, y) and lone(y, x):
+        return None
     total, full, initials, left_over = compare_names(x, y)
     least, most = divmod(left_over, 100)
     ok = full + initials >= 2 and full >= 1 and least == 0 and most <= 1

@@ -43,3 +43,28 @@ def test_all_options_of_a_slip(spark):
     got = {r.token: r.options for r in names._options(df).collect()}["zarine"]
     assert sorted(got) == sorted(clean)
     assert got[0] == "sarine"
+
+
+def test_nicknames_are_learned_from_years_and_equal_initials_meet(spark):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for i, f in enumerate(("garmon", "belnois", "torvac", "quimbel", "sordane")):
+        rows += [(f"a{i}", ["aurelie", f], ["aurelie", f], 1900 + i, None), (f"b{i}", [f, "lili"], [], 1900 + i, None)]
+    rows += [(f"m{i}", ["aurelie", t], ["aurelie", t], 1800 + i, None) for i, t in enumerate(("dumas", "perrin", "lacour", "bertin"))]
+    rows += [("i1", ["n", "jolgui"], [], 1956, None), ("i2", ["jolgui", "n"], [], 1956, "lac"), ("s1", ["chavgamuy", "lau"], [], 1914, "nord"), ("s2", ["laurence", "chavgamuy"], ["laurence", "chavgamuy"], 1914, None), ("e1", ["girrameau", "guy"], ["girrameau", "guy"], 1909, None), ("e2", ["guy", "girramo"], [], 1909, None)]
+    df = spark.createDataFrame(rows, "key string, tokens array<string>, slug array<string>, year int, place string").withColumn("node", F.lit("clash"))
+    got = {r.key: r.author for r in names.link_names(df).collect()}
+    assert all(got[f"a{i}"] == got[f"b{i}"] for i in range(5)) and len({got[f"a{i}"] for i in range(5)}) == 5
+    assert got["i1"] == got["i2"] and got["s1"] == got["s2"] and got["e1"] == got["e2"]
+
+
+def test_assignment_is_optimal():
+    rnd = random.Random(11)
+    for _ in range(60):
+        n, m = rnd.randint(1, 5), rnd.randint(5, 6)
+        fit = [[rnd.choice((0.0, 0.0, 1.0, 2.0, 3.0)) for _ in range(m)] for _ in range(n)]
+        best = max(sum(fit[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert sum(fit[i][j] for i, j in enumerate(names.assignment(fit))) == best
+    long = [[w] for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()]
+    assert names.compare_names(long, long[::-1])[1] == 10
