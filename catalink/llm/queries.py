@@ -24,7 +24,7 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     said = fusion.book_claims(read(spark, d, "babelio_book"), read(spark, d, "livre"))
     best = fusion.discover(said, prior=None)
     fields = ["editor", "edition_date", "nb_pages", "annee"]
-    return best.groupBy("entity", "group_key").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in fields], F.round(F.avg("support"), 6).alias("mean_support"))
+    return best.groupBy("entity", "group_key").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in fields])
 
 
 def _restored(spark: SparkSession, d: str) -> DataFrame:
