@@ -223,6 +223,21 @@ def tiered(left: DataFrame, right: DataFrame, tiers: tuple[int, ...] = (8, 6, 4)
     return met.withColumn("tier", tier).where("tier is not null").select("a", "b", "d", "tier")
 
 
+def tiered_raw(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, raw, d, tier): tiers 8, 6 and 4 where the two stricter ones measure the right text as it is written.
+
+    left has a; right has b and raw, the written text of which b is the normal form. The bounds of tiers 8 and 6 take
+    the length of raw in place of that of b; whatever they admit is also near by tier 4 in its normal form.
+    """
+    met = similar_texts(left.select("a").distinct(), right.select("b").distinct()).join(right.select("b", "raw").distinct(), "b").withColumn("d", F.levenshtein("a", "b"))
+    written = F.least(F.length("a"), F.length("raw"))
+    under = lambda m, k: F.col("d") < F.greatest(F.lit(1.0), m / float(k))
+    over = lambda m, k: F.col("d") > F.greatest(F.lit(1.0), m / float(k))
+    m = F.least(F.length("a"), F.length("b"))
+    tier = F.when(under(written, 8), 8).when(under(written, 6) & over(written, 8), 6).when(under(m, 4) & over(m, 6), 4)
+    return met.withColumn("tier", tier).where("tier is not null").select("a", "b", "raw", "d", "tier")
+
+
 def confirmation(ours: Column, theirs: Column, raw: Column | None = None) -> Column:
     """confirmed if any of our titles is near any of theirs, infirmed if there are titles but none near, else unsure.
 

@@ -75,6 +75,14 @@ def sequences(rows: DataFrame, key: str, tokens: Column, vocab: DataFrame, lengt
     return listed.select(key, F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size("x"), F.lit(0))), tail).alias("features"))
 
 
+def pair_sequences(pairs: DataFrame, a: str, b: str, vocab: DataFrame, length: int = 150) -> DataFrame:
+    """(a, b, features): the sequences of two texts one behind the other; each distinct text is coded once."""
+    texts = pairs.select(F.col(a).alias("t")).union(pairs.select(b)).distinct()
+    coded = sequences(texts, "t", characters(F.col("t")), vocab, length)
+    one, two = (coded.select(F.col("t").alias(c), F.col("features").alias("f" + s)) for c, s in ((a, "1"), (b, "2")))
+    return pairs.select(a, b).join(one, a).join(two, b).select(a, b, F.concat("f1", "f2").alias("features"))
+
+
 def ngram_windows(c: Column, length: int = 40, step: int = 3) -> Column:
     """(window, next): all windows of some length every `step` characters, with the character after each."""
     last = F.length(c) - length - 1

@@ -425,3 +425,9 @@ def page_kinds(spark: SparkSession, d: str) -> DataFrame:
     w = _wiki(spark, d)
     awards = wiki.wiki_pages(w).where(F.element_at("path", -1).rlike(wiki.AWARDS)).count()
     return w.agg(F.count_if(wiki.is_writer(F.col("text"))).alias("writers"), F.lit(awards).cast("long").alias("awards"), F.count_if(wiki.is_book(F.col("text"))).alias("books"))
+
+
+@query("SELECT author_key title, 'Œuvres' parent, 'Romans' AS section FROM babelio_author")
+def works_subsections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections one level below those about works."""
+    return wiki.subsections(wiki.wiki_pages(_wiki(spark, d)), wiki.WORKS)

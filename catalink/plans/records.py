@@ -318,6 +318,39 @@ def strides(spark: SparkSession, d: str) -> DataFrame:
     return r.select((F.col("i") % 7).alias("stride"), "id_livre")
 
 
+_TITLE_PAIRS = f"""a AS MATERIALIZED (SELECT DISTINCT {q.normal('title')} a FROM babelio_book WHERE title IS NOT NULL), b AS MATERIALIZED (SELECT DISTINCT {q.normal('titre')} b, titre raw FROM livre WHERE titre IS NOT NULL),
+{q.odd_signs('SELECT a t FROM a UNION SELECT b FROM b')}, xa AS MATERIALIZED (SELECT a, {q.one_byte('a')} x FROM a), xb AS MATERIALIZED (SELECT b, raw, {q.one_byte('b')} y FROM b),
+p AS MATERIALIZED (SELECT a, b, raw, levenshtein(x, y) d, least(length(a), length(b)) m, least(length(a), length(raw)) w FROM xa, xb WHERE abs(length(a) - length(b)) <= 1 + length(a) / 3)"""
+
+
+def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = read(spark, d, "babelio_book").where("title is not null").select(text.normalize(F.col("title")).alias("a")).distinct()
+    b = read(spark, d, "livre").where("titre is not null").select(text.normalize(F.col("titre")).alias("b"), F.col("titre").alias("raw")).distinct()
+    return a, b
+
+
+@query(f"""WITH {_TITLE_PAIRS} SELECT * FROM (SELECT a, b, raw, d, CASE WHEN d < greatest(1, w / 8) THEN 8 WHEN d < greatest(1, w / 6) AND d > greatest(1, w / 8) THEN 6 WHEN d < greatest(1, m / 4) AND d > greatest(1, m / 6) THEN 4 END tier FROM p) WHERE tier IS NOT NULL""")
+def written_title_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers of similarity whose stricter bounds take the length of a title as it is written."""
+    return match.tiered_raw(*_titles(spark, d))
+
+
+_TCH = f"list_filter(string_split(lower(translate({{}}, {q.quote(mlprep.FILTERED)}, '')), ''), lambda x: x <> '')"
+_CODE = "array_to_string(list_concat(list_transform(range(0, greatest(150 - coalesce(len({0}), 0), 0)), lambda k: 0), coalesce({0}[greatest(len({0}) - 149, 1):], [])), ' ')"
+
+
+@query(f"""WITH {_TITLE_PAIRS}, z AS (SELECT DISTINCT a, b FROM p WHERE d BETWEEN 1 AND 2 AND d < greatest(1, m / 4)), t AS (SELECT a t FROM z UNION SELECT b FROM z), l AS (SELECT t, {_TCH.replace('{}', 't')} l FROM t), e AS (SELECT t, unnest(l) token, generate_subscripts(l, 1) pos FROM l),
+v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) i FROM e GROUP BY 1), s AS (SELECT t, list(i ORDER BY pos) x FROM e JOIN v USING (token) GROUP BY 1)
+SELECT a, b, {_CODE.format('k.x')} || ' ' || {_CODE.format('n.x')} features FROM z LEFT JOIN s k ON k.t = a LEFT JOIN s n ON n.t = b""")
+def title_pair_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Near titles as two padded sequences of character indexes, one behind the other."""
+    a, b = _titles(spark, d)
+    near = match.similar_texts(a, b.select("b").distinct()).where(F.levenshtein("a", "b").between(1, 2))
+    texts = near.select(F.col("a").alias("t")).union(near.select("b")).distinct()
+    vocab = mlprep.vocabulary(texts, mlprep.characters(F.col("t")))
+    return mlprep.pair_sequences(near, "a", "b", vocab).select("a", "b", F.array_join("features", " ").alias("features"))
+
+
 # --- texts ----------------------------------------------------------------------------------------------------
 
 _LOW = "(left({0}, 1) || lower(substr({0}, 2)))"
@@ -452,3 +485,48 @@ def principal_components(spark: SparkSession, d: str) -> DataFrame:
 
     v = mlprep.principal(read(spark, d, "embeddings"), "embedding", 2).select("vec_id", vector_to_array("pca").alias("p"))
     return v.select("vec_id", F.round(F.abs(F.get("p", 0)), 6).alias("first"), F.round(F.abs(F.get("p", 1)), 6).alias("second"))
+
+
+# --- golden values --------------------------------------------------------------------------------------------
+
+# Function, input and the result worked out by hand.
+GOLDEN = (
+    ("isbn", "2-89006-591-X", "978289006591X"), ("isbn", "978-2-89006-591-3 (br.)", "9782890065913"), ("isbn", "289006591", "289006591"),
+    ("isbn", "289006591X | 2890065912", "289006591X2890065912"), ("isbn", " isbn : 123456789X", "978123456789X"), ("isbn", "978276090000", "978276090000#"),
+    ("key", "289006591X", "978289006591X"), ("key", "9872890065913", "987289006591X"), ("key", "987289006591X", "987289006591X"),
+    ("key", "2890065912", "978289006591X"), ("key", "292088736X (br.)", "978292088736X"), ("key", "", "X"),
+    ("title", "été-là, œuvre!", "ete-la oeuvre"), ("title", "L\u00c3\u00a9gende (((tome) 1) bis) d'hiver", "legende d hiver"), ("title", "\u00c3\u00a7a \u00c3\u00aatre \u00c5\u0093uvre", "ca etre oeuvre"),
+    ("author", "a dupont b jean c", "dupontjean"), ("author", "Marie-Ève Roy", "marie-eve roy"), ("swap", "Roy, Marie", "Marie Roy"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({q.quote(f)}, {q.quote(i)}, {q.quote(o)})" for f, i, o in GOLDEN) + ") g(kind, said, result)")
+def golden_values(spark: SparkSession, d: str) -> DataFrame:
+    """Results of the text functions on inputs whose results were worked out by hand."""
+    rows = spark.createDataFrame([(f, i) for f, i, _ in GOLDEN], "kind string, said string")
+    made = {"isbn": text.normalize_isbn, "key": text.format_isbn, "title": text.normalize, "author": text.normalize_author, "swap": text.swap_name}
+    result = F.coalesce(*[F.when(F.col("kind") == n, f(F.col("said"))) for n, f in made.items()])
+    return rows.select("kind", "said", result.alias("result"))
+
+
+# Titles, ISBNs and authors of two records and the case they are.
+CASES = (
+    ("les belles soeurs", "les belles soeurs", ["9782760900001"], ["978276090000#"], ["a b"], [], "ISBN_TITRE_EQ"),
+    ("abcdefgh", "abcdefxy", ["9782760900001"], ["9782760900001"], ["a b"], ["a b"], "ISBN_EQ_TITRE_DIFF"),
+    ("abcdefgh", "zzzzzzzz", ["9782760900001"], ["9782760900001"], [], [], "ISBN_EQ_TITRE_T_DIFF"),
+    ("le lac", "le lac", ["9782760900001"], ["9782890065913"], [], ["x y"], "ISBN_DIFF_TITRE_EQ"),
+    ("la mer", "la mer", ["9782760900001"], ["9782890065913"], ["marie roy"], ["roy marie"], "ISBN_DIFF_TITRE_AUTEUR_EQ"),
+    ("la nuit", "la nuit", ["9782760900001"], ["9782890065913"], ["a b"], ["c d"], "PAS_INFO"),
+    ("le soir", "le soir", [], ["9782890065913"], ["marie roy"], ["roy m"], "TITRE_AUTEUR_EQ"),
+    ("le jour", "le jour", [], [], ["a b"], ["c d"], "TITRE_EQ_AUTEUR_DIFF"),
+    ("le vent", "le vent", [], [], [], ["c d"], "TITRE_EQ"),
+    ("abcd", "abce", [], [], ["a b"], ["a b"], "PAS_INFO"),
+    (None, "le vent", [], [], [], [], "PAS_INFO"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {q.quote(c[-1])})" for i, c in enumerate(CASES)) + ') g(i, "case")')
+def decision_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The decision table on records whose case was worked out by hand."""
+    rows = spark.createDataFrame([(i, *c[:-1]) for i, c in enumerate(CASES)], "i int, t1 string, t2 string, i1 array<string>, i2 array<string>, a1 array<string>, a2 array<string>")
+    return rows.select("i", match.case_of(*[F.col(c) for c in ("t1", "t2", "i1", "i2", "a1", "a2")]).alias("case"))

@@ -121,3 +121,11 @@ def wiki_pages(pages: DataFrame, title: str = "title", text: str = "text") -> Da
 def section_titles(parsed: DataFrame, deepest: int = 2) -> DataFrame:
     """(section, n): how often sections down to a level have each title."""
     return parsed.where(F.col("level").between(1, deepest)).groupBy(F.element_at("path", -1).alias("section")).agg(F.count("*").alias("n"))
+
+
+def subsections(parsed: DataFrame, parents: str) -> DataFrame:
+    """(title, parent, section): the sections one level below those whose title meets a pattern."""
+    deep = F.size("path")
+    own = parsed.where((deep > 1) & F.get("path", deep - 2).rlike(parents))
+    above = parsed.select("title", F.col("path").alias("up"), F.col("level").alias("above")).distinct()
+    return own.withColumn("up", F.slice("path", 1, deep - 1)).join(above, ["title", "up"]).where("level = above + 1").select("title", F.element_at("up", -1).alias("parent"), F.element_at("path", -1).alias("section"))
