@@ -342,7 +342,12 @@ def link_names(mentions: DataFrame) -> DataFrame:
 
     settled = names.join(told, "node", "left").select("node", "year", "place", "tokens", "slug", "known").mapInArrow(settle, "node string, year int, place string, name array<array<string>>")
     # Names are compared once, however many nodes have them.
-    settled = cut(settled.withColumn("whole", F.sha2(F.to_json("name"), 256).substr(1, 24)))
+    settled = settled.withColumn("whole", F.sha2(F.to_json("name"), 256).substr(1, 24))
+    # Nodes of one settled name with one year and place, of which one at least is known, are of one author; they go on as one.
+    said = F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("place", F.lit(""))
+    one = F.sha2(F.concat_ws("\u0001", "whole", *said), 256).substr(1, 24)
+    spelled = cut(settled.withColumn("class", F.when(F.col("year").isNotNull() | F.col("place").isNotNull(), one).otherwise(F.col("node"))))
+    settled = cut(spelled.groupBy(F.col("class").alias("node"), "whole", "year", "place").agg(F.first("name").alias("name")))
     wholes = cut(settled.select("whole", "name").distinct())
     met = meeting(cut(name_keys(wholes)))
     met = met.join(wholes.toDF("a", "name_a"), "a").join(wholes.toDF("b", "name_b"), "b")
@@ -386,7 +391,8 @@ def link_names(mentions: DataFrame) -> DataFrame:
     # Both chose each other, or one that says nothing of itself chose the other.
     agreed = chosen.groupBy("ga", "gb").agg(F.max("silent").alias("silent"), (F.min("g") != F.max("g")).alias("both")).where("silent or both")
     merged = components(agreed, "ga", "gb", "author")
-    authors = member.join(merged.withColumnRenamed("key", "group"), "group", "left").select("node", F.coalesce("author", "group").alias("author"))
+    authors = member.join(merged.withColumnRenamed("key", "group"), "group", "left").select(F.col("node").alias("class"), F.coalesce("author", "group").alias("author"))
+    authors = spelled.select("node", "class").join(authors, "class").select("node", "author")
     # Nodes carry their own rows; equal rows have equal nodes.
     return mentions.select("key", "node").join(authors, "node").select("key", "author")
 
