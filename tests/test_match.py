@@ -55,6 +55,38 @@ def test_blocking_loses_nothing(spark, k):
     assert got == want
 
 
+def test_segments_are_never_broadcast_by_an_estimate(spark):
+    from catalink.plans import catalog
+
+    near = match.similar_texts(*catalog._titles(spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_allow_all_near_texts(spark):
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [rnd.choice("eaisdcé '-xyzk") for _ in range(rnd.choice((1, 2, 4, 9, 20, 37)))]
+        texts.append("".join(base))
+        # As many edits as are allowed, of one kind or mixed.
+        for kinds in ("i", "d", "x", "idx"):
+            u = list(base)
+            for _ in range(max(1, -(-len(base) // 4) - 1)):
+                kind, at = rnd.choice(kinds), rnd.randrange(len(u) or 1)
+                if kind == "i" or not u:
+                    u.insert(at, rnd.choice("qwœ"))
+                elif kind == "d":
+                    u.pop(at)
+                else:
+                    u[at] = rnd.choice("qwœ")
+            texts.append("".join(u))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = {(a, b) for a in texts for b in texts if distance(a, b) < max(1, min(len(a), len(b)) / 4)}
+    assert {(r.a, r.b) for r in match.similar_texts(df, df).collect()} == want
+    assert {(r.a, r.b) for r in match.similar_texts(df).collect()} == want
+
+
 def test_symmetric_pairs_are_twice_as_many(spark):
     d = "/root/testdata/sf0.001"
     books = match.library_books(spark.read.parquet(d + "/livre.parquet"), spark.read.parquet(d + "/babelio_book.parquet"))
