@@ -62,6 +62,13 @@ def test_segments_are_never_broadcast_by_an_estimate(spark):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
 
 
+def test_records_are_never_broadcast_by_an_estimate(spark):
+    from catalink.plans import catalog
+
+    linked = match.linked_pairs(catalog._books(spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in linked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_signatures_allow_all_near_texts(spark):
     rnd = random.Random(5)
     texts = []
