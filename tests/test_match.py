@@ -69,6 +69,14 @@ def test_records_are_never_broadcast_by_an_estimate(spark):
     assert "Broadcast" not in linked._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["author_confirmation"])
+def test_titles_of_names_are_never_broadcast_by_an_estimate(spark, name):
+    from catalink.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_signatures_allow_all_near_texts(spark):
     rnd = random.Random(5)
     texts = []
