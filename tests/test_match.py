@@ -69,7 +69,7 @@ def test_records_are_never_broadcast_by_an_estimate(spark):
     assert "Broadcast" not in linked._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["author_confirmation"])
+@pytest.mark.parametrize("name", ["author_confirmation", "written_title_tiers"])
 def test_titles_of_names_are_never_broadcast_by_an_estimate(spark, name):
     from catalink.plans import catalog
 
