@@ -148,3 +148,24 @@ def test_rounds_lead_from_the_majority_to_the_newest(spark, same_as_sql):
     same_as_sql(discover(made).select(*keys), SQL["p1_found"], d)
     with pytest.raises(AssertionError):
         same_as_sql(discover(made, rounds=0).select(*keys), SQL["p1_found"], d)
+
+
+def test_rounds_start_from_the_prior_and_decide_on_supports(spark, monkeypatch):
+    from datetime import datetime as t
+
+    from catalink.llm import fusion
+
+    trusts = []
+    monkeypatch.setattr(fusion, "cut", lambda df, real=fusion.cut: trusts.append(df) or real(df) if "wrong" in df.columns else real(df))
+    rows = [(f"g{g}", 3 * g + i, s, "true" if i or g % 4 else "odd", t(2020, 1, 3 - i), "") for g in range(12) for i, s in enumerate("abc")]
+    got = {r.group_key: (r.value, r.support) for r in discover(said(spark, rows)).collect()}
+    assert {g for g, (v, _) in got.items() if v == "odd"} == {"g0", "g4", "g8"}
+    start = {(r.age, r.wrong) for r in trusts[0].collect()}
+    assert start == set(fusion.AGE_PRIOR.items())
+    # Nothing that was estimated is thrown away: one round moves, the next finds it at rest.
+    assert len(trusts) == 3
+    prior = {r.age: r.wrong for r in trusts[0].collect()}
+    import math
+
+    alone = math.log(prior["newest"]) / (math.log(prior["newest"]) + 2 * math.log(prior["older"]))
+    assert abs(got["g0"][1] - alone) > 0.01
