@@ -53,3 +53,11 @@ def test_maps_and_nested_names(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}, [{"x": "u\t\tv\n"}])], "m map<string,string>, n map<string,string>, l array<struct<x:string>>")
     assert df.select(text.merged(F.col("m"), F.col("n"))).first()[0] == {"a": "1", "b": "3"}
     assert text.renamed(text.clean_items(df), {"l": "k", "x": "y"}).first().k[0].y == "u v"
+
+
+def test_sequences_of_pairs_are_never_broadcast_by_an_estimate(spark):
+    from catalink.plans import catalog
+
+    plan = catalog.QUERIES["title_pair_sequences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Only the starts of numbered parts, of which there are as many as partitions.
+    assert all("__part" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
