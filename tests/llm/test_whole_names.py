@@ -20,6 +20,13 @@ def test_hot_family_name_and_rare_given_name(spark):
     assert got["m1"] == got["m2"] != got["m3"]
 
 
+def test_no_estimate_grows_with_the_steps(spark):
+    notices = spark.createDataFrame([(f"t{i}", "Tremblay", given, "1931", None) for i, given in enumerate(("Z.", "Zenobie", "Marie", "M.", "Ursule"))], "auteur_key string, nom string, prenom string, annee_naissance string, lieu_naissance string")
+    pages = spark.createDataFrame([], "author_key string, name string, url string, date_of_birth string, place_of_birth string")
+    linked = names.link_names(names.author_mentions(notices, pages))
+    assert len(str(linked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 250
+
+
 def test_names_meet_as_by_brute_force(spark):
     rnd = random.Random(3)
     full = ["tremblay"] * 6 + ["marie", "jean", "paul", "zenobie", "roy", "ursule", "lac", "nord"]
