@@ -169,3 +169,10 @@ def test_rounds_start_from_the_prior_and_decide_on_supports(spark, monkeypatch):
 
     alone = math.log(prior["newest"]) / (math.log(prior["newest"]) + 2 * math.log(prior["older"]))
     assert abs(got["g0"][1] - alone) > 0.01
+
+
+def test_no_estimate_grows_with_the_levels(spark):
+    pairs = spark.createDataFrame([(f"k{i:03}", f"k{i + 1:03}") for i in range(300)], "a string, b string")
+    got = components(pairs, "a", "b", last=0)
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100
+    assert {(r.key, r.group_key) for r in got.collect()} == {(f"k{i:03}", "k000") for i in range(301)}
