@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalink.runtime import cut
+from catalink.runtime import cut, discard
 
 #: Rate of the exponential head starts and their longest; clusters reach less than LONGEST hops.
 RATE, LONGEST = 0.5, 5
@@ -102,6 +102,7 @@ def components(pairs: DataFrame, a: str, b: str, out: str = "group_key", rate: f
     keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("v", F.monotonically_increasing_id()))
     ka, kb = (keys.select(F.col("key").alias(s), F.col("v").alias("n" + s)) for s in "ab")
     edges = cut(pairs.where("a <> b").join(ka, "a").select("b", "na").join(kb, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    discard(pairs)
     levels: list[DataFrame] = []
     left = edges.count()
     while left:
@@ -110,7 +111,8 @@ def components(pairs: DataFrame, a: str, b: str, out: str = "group_key", rate: f
             break
         clusters = cut(decompose(edges, len(levels), rate, longest, hub))
         levels.append(clusters)
-        edges = cut(between(edges, clusters))
+        below, edges = edges, cut(between(edges, clusters))
+        discard(below)
         left = edges.count()
     if not levels:
         return keys.select("key", F.col("key").alias(out))

@@ -176,3 +176,21 @@ def test_no_estimate_grows_with_the_levels(spark):
     got = components(pairs, "a", "b", last=0)
     assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100
     assert {(r.key, r.group_key) for r in got.collect()} == {(f"k{i:03}", "k000") for i in range(301)}
+
+
+def test_files_that_nothing_reads_are_gone(spark):
+    from pathlib import Path
+
+    from catalink.runtime import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum(x.rpartition("/")[2].startswith("shuffle_") for x in blocks.getAllFiles().mkString("\n").split("\n"))
+    pairs = spark.range(20_000).select(F.format_string("k%07d", "id").alias("a"), F.format_string("k%07d", (F.col("id") / 3).cast("long")).alias("b")).repartition(4)
+    before, files = size(), shuffles()
+    got = components(pairs, "a", "b", last=0)
+    # Keys, clusters and named vertices stay; pairs and the links of each level are gone.
+    assert size() - before < 45 * 20_000
+    assert shuffles() - files < 20
+    assert got.select("group_key").distinct().count() == 1
