@@ -136,3 +136,14 @@ def test_search_equals_all_paths():
             best = max(best or (total, text), (total, text))
         assert viterbi(moves, letters) == best[1] or abs(best[0]) < 1e-9
         assert viterbi(moves, letters, arcs) is not None
+
+
+def test_edits_are_counted_up_to_the_most_that_is_allowed(spark):
+    from pyspark.sql import functions as F
+
+    from catalink.llm.linkage import edits_within
+
+    rows = [(a, b, most) for a in ("", "abc", "contes de nuit", "été") for b in ("", "abd", "contes du nuits", "ete", None) for most in range(5)]
+    whole = F.levenshtein("a", "b")
+    df = spark.createDataFrame(rows, "a string, b string, most int").select(edits_within("a", "b", F.col("most")).alias("x"), F.when(whole <= F.col("most"), whole).when(whole.isNotNull(), -1).alias("y"))
+    assert df.where(~F.col("x").eqNullSafe(F.col("y"))).count() == 0
