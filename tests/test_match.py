@@ -143,3 +143,19 @@ def test_alignment_lines(spark):
 def test_baseline(spark):
     df = spark.createDataFrame([("Le lac", "le lac bleu"), ("abc", "xyz")], "a string, b string")
     assert [r[0] for r in df.select(match.baseline_same(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_examples_of_every_threshold(spark):
+    rnd = random.Random(3)
+    a = {"".join(rnd.choice("abcé ") for _ in range(rnd.randint(0, 16))) for _ in range(60)}
+    b = {"".join(x if rnd.random() < 0.8 else rnd.choice("xyz") for x in t) + rnd.choice(("", "", "z")) for t in a}
+    left, right = (spark.createDataFrame([(t,) for t in sorted(x)], "t string") for x in (a, b))
+    want = {}
+    for t in range(2, 10):
+        met = [(x, y) for x in a for y in b if 0 < distance(x, y) and distance(x, y) * t == min(len(x), len(y))]
+        if met:
+            want[t] = min(met)
+    assert {2, 3, 4} <= set(want)
+    for batch in (4, 256):
+        got = match.threshold_examples(left, right, batch=batch).collect()
+        assert {r.threshold: (r.a, r.b) for r in got} == want and len(got) == len(want)
