@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from catalink.llm import names
 
 
@@ -75,3 +77,19 @@ def test_assignment_is_optimal():
         assert sum(fit[i][j] for i, j in enumerate(names.assignment(fit))) == best
     long = [[w] for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()]
     assert names.compare_names(long, long[::-1])[1] == 10
+
+
+def test_a_kept_table_takes_less_disk_than_its_rows(spark):
+    from pathlib import Path
+
+    from catalink.runtime import cut, discard, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    rows = spark.range(50_000).select("id", F.array(F.array(F.lit("tremblay")), F.array(F.lit("michel"))).alias("a name"), F.lit(None).cast("string").alias("place"))
+    kept = cut(rows)
+    assert 0 < size() - before < 50_000 * 16  # plain rows take 150 bytes each
+    assert kept.schema.simpleString() == rows.schema.simpleString() and kept.count() == 50_000 == kept.distinct().count()
+    discard(kept)
+    assert size() <= before
